@@ -1,0 +1,39 @@
+"""Connected components of a table of links, by alternating large-star and small-star steps.
+
+Links, labels and components stay distributed; the driver sees two numbers a round, by which it
+tells that nothing changed. Each round is cut, so that lost executors cost one round at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """edges: u > v. Links each node's larger neighbours to its least one, then the least with the rest."""
+    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u")
+    linked = small.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+    return linked.distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: u, v (long, any order, repeats and loops allowed). Rows (id, component), component being the least id that id reaches.
+
+    Only nodes of a link between different nodes have a row; links with a null are no links.
+    """
+    edges = edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    seen = None
+    while True:
+        edges = cut(edges)
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == seen or not now[0]:
+            break
+        seen, edges = now, _stars(edges)
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
