@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .quality import quality_rules
 from .secrets import secrets
+from .substrings import repeated_substrings
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_substrings(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_secrets": op3_secrets,
+    "op6_repeated_substrings": op6_repeated_substrings,
     "op8_near_dedup": op8_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
