@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .lm import lm_scores
 from .near_dedup import near_dedup
 from .quality import quality_rules
 from .secrets import secrets
@@ -22,6 +23,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_secrets": op3_secrets,
+    "op4_lm_scores": op4_lm_scores,
     "op6_repeated_substrings": op6_repeated_substrings,
     "op8_near_dedup": op8_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
