@@ -69,11 +69,11 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
-def _counted(df: DataFrame, text_col: str) -> DataFrame:
-    """df as the struct `row`, and the counts of its text."""
+def _counted(df: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
+    """The carried columns as the struct `row`, and the counts of the text."""
     text = text_of(text_col)
     size = F.length("text")
-    df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), text.alias("text"))
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), text.alias("text"))
     df = df.select(
         "row",
         words_of(F.col("text")).alias("words"),
@@ -149,7 +149,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by words abstaining. Repeated rows are judged alike and each counts as evidence. An empty table
     gives an empty result. A null id is carried. Other columns of df are not read.
     """
-    voted = cut(_voted(_counted(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")))
+    voted = cut(_voted(_counted(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"])))
     judged = _judged(voted, fit(voted), threshold)
     votes = [f"vote_{name}" for name in RULES]
     return judged.select(F.col("row.id").alias(id_col), *COUNTS[:5], "base_failed", "kept", "posterior", *COUNTS[5:], *votes)
@@ -157,5 +157,5 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_good(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of df that the rules keep, with all of their columns. Reads df twice and shuffles no text."""
-    voted = _voted(_counted(df, text_col))
+    voted = _voted(_counted(df, text_col, df.columns))
     return _judged(voted, fit(voted), threshold).filter("kept").select("row.*")
