@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
 from .lm import lm_scores
+from .mixing import mix_rates
 from .near_dedup import near_dedup
 from .quality import quality_rules
 from .secrets import secrets
@@ -27,6 +29,20 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+#: Domains of the labelled documents and the shares of the tokens that they are to have.
+DOMAINS = ("clean", "poor", "toxic")
+SHARES = (0.94, 0.05, 0.01)
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), domain.alias("domain"))
+
+
+def op5_mix_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_rates(table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), DOMAINS, SHARES)
+
+
 def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(table(spark, sf_dir, "documents"))
 
@@ -43,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_secrets": op3_secrets,
     "op4_lm_scores": op4_lm_scores,
+    "op5_mix_rates": op5_mix_rates,
     "op6_repeated_substrings": op6_repeated_substrings,
     "op8_near_dedup": op8_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
