@@ -60,7 +60,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), sha.alias("text_sha256"))
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of df that stay, with all of their columns; of repeated rows that stay, each."""
-    winners = groups(df, id_col, text_col, salts).select(F.col("keep_id").alias(id_col))
-    return df.join(winners, id_col, "left_semi")
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """The rows of df that stay, with all of their columns: one a distinct text.
+
+    The row travels beside its normalised text, which costs little: the shuffle's compression finds
+    the one in the other. Of rows that repeat the smallest id, the least by the other columns stays.
+    """
+    others = [c for c in df.columns if c != id_col]
+    row = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    rows = df.select((F.spark_partition_id() % salts).alias("salt"), normalised(text_col).alias("norm"), row.alias("row")).withColumn("digest", sha256(F.col("norm")))
+    salted = rows.groupBy("salt", "digest", "norm").agg(F.min("row").alias("row"))
+    merged = salted.groupBy("digest", "norm").agg(F.min("row").alias("row"))
+    place = {id_col: "id"} | {c: f"c{i}" for i, c in enumerate(others)}
+    return merged.select(*[F.col(f"row.{place[c]}").alias(c) for c in df.columns])

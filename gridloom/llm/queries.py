@@ -7,16 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import repair_chats
 from .common import table
 from .exact_dedup import exact_dedup
+from .licences import licences
 from .lm import lm_scores
 from .mixing import mix_rates
 from .near_dedup import near_dedup
 from .quality import quality_rules
 from .secrets import secrets
+from .segment import decoded, sampled_segmentations
 from .substrings import repeated_substrings
 
 
+def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_chats(table(spark, sf_dir, "conversations"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -47,21 +54,37 @@ def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(table(spark, sf_dir, "documents"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents has no paths: they are laid out as source/language/document; short ones with a licence are licence files."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", "doc_id"))
+    return licences(docs, "doc_id", "path", "text", F.col("n_chars") < 400)
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples of each text, and a digest of what the last of them decodes to."""
+    rows = sampled_segmentations(table(spark, sf_dir, "documents"))
+    rows = decoded(rows.withColumn("ids", F.element_at("samples", -1)["ids"]))
+    return rows.select("doc_id", "samples", F.size("samples").cast("long").alias("n_samples"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_repair": op1_chat_repair,
     "op2_quality_rules": op2_quality_rules,
     "op3_secrets": op3_secrets,
     "op4_lm_scores": op4_lm_scores,
     "op5_mix_rates": op5_mix_rates,
     "op6_repeated_substrings": op6_repeated_substrings,
+    "op7_licences": op7_licences,
     "op8_near_dedup": op8_near_dedup,
+    "op9_segmentations": op9_segmentations,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

@@ -16,7 +16,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-STEP = np.uint64(0x9E3779B97F4A7C15)
+STEP = np.array(0x9E3779B97F4A7C15, np.uint64)
 LONG = 64
 
 
@@ -43,6 +43,22 @@ def pieces(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, n
         lo = hi
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span, all spans a byte further at each step; long ones one by one."""
+    sizes = ends - starts
+    hashes = sizes.astype(np.uint64) * STEP
+    short = np.flatnonzero(sizes <= LONG)
+    short = short[np.argsort(-sizes[short].astype(np.int8), kind="stable")]
+    falling = -sizes[short]
+    for k in range(int(sizes[short].max(initial=0))):
+        active = short[: np.searchsorted(falling, -k)]
+        hashes[active] = (hashes[active] ^ data[starts[active] + k]) * STEP
+        hashes[active] ^= hashes[active] >> np.uint64(29)
+    for i in np.flatnonzero(sizes > LONG):
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return mix(hashes)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and where each row's words begin among them (one entry more than rows)."""
     if not len(data):
@@ -55,18 +71,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     first[1:] &= ~solid[:-1] | edge[1:-1]
     last[:-1] &= ~solid[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sizes = ends - starts
-    hashes = sizes.astype(np.uint64) * STEP
-    short = np.flatnonzero(sizes <= LONG)
-    short = short[np.argsort(-sizes[short], kind="stable")]
-    falling = -sizes[short]
-    for k in range(int(sizes[short].max(initial=0))):
-        active = short[: np.searchsorted(falling, -k)]
-        hashes[active] = (hashes[active] ^ data[starts[active] + k]) * STEP
-        hashes[active] ^= hashes[active] >> np.uint64(29)
-    for i in np.flatnonzero(sizes > LONG):
-        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
-    return mix(hashes), np.searchsorted(starts, offsets)
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> list[np.ndarray]:
