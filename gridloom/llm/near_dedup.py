@@ -5,17 +5,17 @@
 2. A set's hashes fall into BINS bins by their leading bits; the least of each bin is its MinHash.
    An empty bin borrows from the first filled one along a fixed permutation of its own, the same
    for all sets (optimal densification). ROWS bins make a band; BANDS bands make buckets.
-   Two sets of similarity 0.85 share no bucket with a chance of (1 - 0.85 ** ROWS) ** BANDS, 5e-11.
+   Two sets of similarity 0.85 share no bucket with a chance of (1 - 0.85 ** ROWS) ** BANDS, 6e-9.
 3. Stars: within a bucket each class meets the bucket's least one alone, and of all the stars a
    class is in, only its least centre whose sketch is close enough: at most one pair a class.
 4. Pairs are confirmed on their full sets and make components.
 5. What a star can miss are links between members of a bucket which are in different components
-   by now. Buckets that still hold several are compared in blocks, sketch against sketch, inside
-   the task; only pairs of different components that are close by sketch come out, to be confirmed
-   likewise. So no link is lost, and no bucket emits its pairs.
+   by now. The members of buckets that still hold several meet with their full sets, in blocks; a
+   block compares sketches, then the sets of what is close, and sends out only links that join
+   two components it had apart. So no link is lost, and no bucket emits its pairs.
 
-A sketch is one byte a bin. Pairs of similarity 0.85 agree in 109 of 128 bins, give or take 4;
-those below CLOSE agreements are not confirmed (under 1e-8 of the true ones).
+A sketch is one byte a bin. Pairs of similarity 0.85 agree in 204 of 240 bins, give or take 6;
+those below CLOSE agreements are not compared (under 1e-8 of the true ones).
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ from .common import cut, text_of
 from .components import components
 from .tokens import mix, pieces, shingle_sets
 
-BINS, ROWS = 128, 4
+BINS, ROWS = 240, 6
 BANDS = BINS // ROWS
-CLOSE = 80
+CLOSE = 168
 PERCENT = 85
 WIDTH = 3
 BLOCK = 2048
@@ -57,7 +57,7 @@ def _signature(ordered: np.ndarray, probes: np.ndarray, edges: np.ndarray) -> np
 def _signed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = _probes(BINS)
-        edges = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
+        edges = np.array([(b << 64) // BINS for b in range(BINS)], np.uint64)
         place = mix(np.arange(BINS, dtype=np.uint64) + np.uint64(31))
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch.column("text")):
@@ -93,31 +93,79 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket and pair of blocks (p, q); within p = q all pairs, else those across."""
+def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in pieces(batch.column("text")):
+                found = [x.tobytes() for x in shingle_sets(data, offsets, width)]
+                yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.array(found, pa.binary())], names=["id", "found"])
 
-    def pairs(key: tuple, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        ids, labels, sizes, sides = (np.array([r[k] for r in rows]) for k in (0, 1, 2, 4))
-        sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, BINS)
-        out: list[tuple[np.ndarray, np.ndarray]] = [(ids[:0], ids[:0])]
-        right = np.flatnonzero(sides == key[2])
-        for i in np.flatnonzero(sides == key[1]) if len(np.unique(labels)) > 1 else ():
-            js = right[(labels[right] != labels[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= PERCENT * np.maximum(sizes[right], sizes[i]))]
-            js = js[(sketch[js] == sketch[i]).sum(axis=1) >= CLOSE]
-            out.append((np.full(len(js), ids[i]), ids[js]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    return run
 
-    held, key = [], None
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("key", "p", "q", "id", "label", "n", "sketch", "block")]
-        for row in zip(*columns, strict=True):
-            if row[:3] != key:
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(key, held)], names=["u", "v"])
-                held, key = [], row[:3]
-            held.append(row[3:])
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(key, held)], names=["u", "v"])
+
+class _Apart:
+    """Which components are still apart."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _links(rows: list[tuple], p: int, q: int, percent: int) -> list[tuple[int, int]]:
+    """Links between rows (id, label, n, sketch, found, block) of blocks p and q that join components."""
+    labels, sizes, sides = (np.array([r[k] for r in rows]) for k in (1, 2, 5))
+    if (labels == labels[0]).all():
+        return []
+    sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, BINS)
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    right, apart, out = np.flatnonzero(sides == q), _Apart(), []
+    for i in np.flatnonzero(sides == p):
+        js = right[right > i] if p == q else right
+        js = js[(labels[js] != labels[i]) & (100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i]))]
+        js = js[(sketch[js] == sketch[i]).sum(axis=1) >= CLOSE]
+        js = np.array([j for j in js if apart.root(int(labels[j])) != apart.root(int(labels[i]))], np.int64)
+        for some in np.array_split(js, max(1, len(js) // 256)):
+            if not len(some):
+                continue
+            flat = np.concatenate([sets[j] for j in some])
+            at = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+            shared = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+            for j in some[100 * shared >= percent * (sizes[i] + sizes[some] - shared)]:
+                if apart.join(int(labels[i]), int(labels[j])):
+                    out.append((rows[i][0], rows[j][0]))
+    return out
+
+
+def _blocks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted by bucket and pair of blocks (p, q); within p = q all meet, else those across."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
+            found = _links(rows, key[1], key[2], percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        held, key = [], None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "p", "q", "id", "label", "n", "sketch", "found", "block")]
+            for row in zip(*columns, strict=True):
+                if row[:3] != key:
+                    if held:
+                        yield done(key, held)
+                    held, key = [], row[:3]
+                held.append(row[3:])
+        if held:
+            yield done(key, held)
+
+    return run
 
 
 def _confirm(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -163,9 +211,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; a text of fewer words than
     `width` is one shingle; a text without words, or null, links with nothing. Ids are whole
-    numbers; rows with a null id are documents of nobody and left out; of rows that repeat an id,
-    one row comes out, for the smallest of their texts. An empty table gives an empty result.
-    Other columns are not read.
+    numbers and name the texts: rows that repeat an id and a text come out once, and an id has no
+    second text. Rows with a null id are nobody's and left out. An empty table gives an empty
+    result. Other columns are not read.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).filter("id IS NOT NULL")
     signed = cut(rows.mapInArrow(_signed(width), "id long, n long, f1 long, f2 long, bands array<long>, sketch binary"))
@@ -186,15 +234,16 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     links = cut(confirmed(stars, rows, width, percent))
     labels = components(links)
 
-    labelled = shared.join(labels, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("label"))
-    open_buckets = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.first("members").alias("m")).filter("least < most").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    mine = labelled.select("key", "id", "label").join(open_buckets, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sketches, "id")
+    labelled = shared.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    spread = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("m"))
+    spread = spread.filter("least < most").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    still = cut(labelled.join(spread, "key"))
+    sets = still.select("id").distinct().join(rows, "id").select("id", "text").mapInArrow(_sets(width), "id long, found binary").join(sketches, "id")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("p"), F.greatest("block", other).alias("q")))
-    mine = mine.withColumn("pair", F.explode(met)).select("key", "pair.p", "pair.q", "id", "label", "n", "sketch", "block")
-    rest = mine.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_blocks, "u long, v long")
-    rest = cut(rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    links = links.unionAll(confirmed(rest, rows, width, percent))
-    final = components(links)
+    mine = still.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sets, "id")
+    mine = mine.withColumn("pair", F.explode(met)).select("key", "pair.p", "pair.q", "id", "label", "n", "sketch", "found", "block")
+    rest = mine.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id").mapInArrow(_blocks(percent), "u long, v long")
+    final = components(links.unionAll(rest))
 
     member = signed.groupBy("id", "n", "f1", "f2").agg(F.count(F.lit(1)).alias("copies")).join(classes, ["n", "f1", "f2"], "left")
     out = member.select("id", "n", F.coalesce("class", "id").alias("class")).join(final.select(F.col("id").alias("class"), "component"), "class", "left")
