@@ -155,4 +155,5 @@ def drawn(df: DataFrame, labels: DataFrame, domains: Sequence[str], factors: Seq
     members, names = _members(df, text_col, classifier, df.columns)
     fraction = F.pmod(F.xxhash64(F.col(f"row.`{id_col}`"), F.lit("draw")), F.lit(1 << 30)) / float(1 << 30) if unbiased else F.lit(0.5)
     copies = F.floor(_rate(steps, names) + fraction).cast("int")
-    return members.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
+    # The outer form keeps the optimizer from pushing a filter down with all that copies is computed from.
+    return members.withColumn("copy", F.explode_outer(F.array_repeat(F.lit(True), copies))).filter("copy").select("row.*")
