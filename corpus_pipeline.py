@@ -18,11 +18,11 @@ from gridloom.llm.exact_dedup import keep_first
 from gridloom.llm.mixing import drawn
 from gridloom.llm.near_dedup import keep_one
 from gridloom.llm.quality import keep_good
-from gridloom.llm.queries import DOMAINS, domain_labels
+from gridloom.llm.queries import domain_labels
 from gridloom.llm.segment import sampled_segmentations
 
-#: Each domain's tokens are to be this multiple of what they are: clean ones stay, poor ones thin out, toxic ones go.
-FACTORS = (1.0, 0.5, 0.0)
+#: Each domain's tokens are to be this multiple of what they are; poor ones are gone by then.
+DOMAINS, FACTORS = ("clean", "toxic"), (1.0, 0.0)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
