@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import ID, cut
 
+#: Cells along each side of a tile.
+TILE = 256
 SIDES = ((-1, 0), (0, 1), (0, -1), (1, 0))
 CORNERS = ((-1, -1), (-1, 1), (1, -1), (1, 1))
 
@@ -64,24 +69,48 @@ def district(grid: DataFrame, value: str, corners: bool = False) -> DataFrame:
     return cells.select(ID, "row", "col", value).join(connected_parts(cells.select(ID), edges), ID).withColumnRenamed("part_rel", "district")
 
 
-def grid_distance(grid: DataFrame, impedance: str, start: str, limit: float = math.inf) -> DataFrame:
+def _relaxed(limit: float, tile: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Least costs within a tile and the ring of cells around it, from the costs known so far."""
+
+    def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        at = {(r, c): i for i, (r, c) in enumerate(zip(cells["row"], cells["col"], strict=True))}
+        imp, dist = cells["imp"].to_numpy(), cells["dist"].fillna(math.inf).to_numpy(copy=True)
+        before = dist.copy()
+        places = list(at)
+        heap = [(d, i) for i, d in enumerate(dist) if d < math.inf]
+        heapq.heapify(heap)
+        while heap:
+            d, i = heapq.heappop(heap)
+            if d > dist[i]:
+                continue
+            r, c = places[i]
+            for shifts, weight in ((SIDES, 0.5), (CORNERS, 0.5 * math.sqrt(2))):
+                for dr, dc in shifts:
+                    j = at.get((r + dr, c + dc))
+                    if j is not None and (new := d + (imp[i] + imp[j]) * weight) < dist[j] and new <= limit:
+                        dist[j] = new
+                        heapq.heappush(heap, (new, j))
+        own = (cells["row"] // tile == key[0]) & (cells["col"] // tile == key[1])
+        out = cells.assign(dist=np.where(np.isinf(dist), np.nan, dist), changed=dist < before)[own]
+        return out[["row", "col", "imp", "dist", "changed"]]
+
+    return run
+
+
+def grid_distance(grid: DataFrame, impedance: str, start: str, limit: float = math.inf, tile: int = TILE) -> DataFrame:
     """Least cost from the start cells over eight neighbours: half the sum of both cells' impedance, by the root of two across corners.
 
-    Rounds of relaxation by equi-joins, of the cells that changed alone; cut every round.
+    Each round finds the least costs inside every tile, with the ring around it as its neighbours
+    had it, and ends when no tile changes: rounds are about the tiles that a cheapest way crosses.
     """
-    cells = grid.filter(F.col(impedance).isNotNull()).select("row", "col", F.greatest(F.col(impedance), F.lit(0.0)).alias("imp"), F.col(start).alias("_s"))
-    dist = cut(cells.select("row", "col", F.when(F.col("_s"), F.lit(0.0)).alias("dist")))
-    cells = cut(cells.drop("_s"))
-    front = dist.filter("dist IS NOT NULL")
-    while not front.isEmpty():
-        reach = front.join(cells, ["row", "col"]).withColumn("_k", _shifts([*[(r, c, 0.5) for r, c in SIDES], *[(r, c, 0.5 * math.sqrt(2)) for r, c in CORNERS]]))
-        reach = reach.select((F.col("row") + F.col("_k.dr")).alias("row"), (F.col("col") + F.col("_k.dc")).alias("col"), "dist", F.col("imp").alias("_from"), F.col("_k.w").alias("w"))
-        reach = reach.join(cells, ["row", "col"]).select("row", "col", (F.col("dist") + (F.col("_from") + F.col("imp")) * F.col("w")).alias("_new"))
-        reach = reach.filter(F.col("_new") <= limit).groupBy("row", "col").agg(F.min("_new").alias("_new"))
-        step = cut(dist.join(reach, ["row", "col"], "left").withColumn("_better", F.coalesce(F.col("_new") < F.coalesce("dist", F.lit(math.inf)), F.lit(False))))
-        front = step.filter("_better").select("row", "col", F.col("_new").alias("dist"))
-        dist = step.select("row", "col", F.when(F.col("_better"), F.col("_new")).otherwise(F.col("dist")).alias("dist"))
-    return dist
+    cells = grid.filter(F.col(impedance).isNotNull()).select(F.col("row").cast("int"), F.col("col").cast("int"), F.greatest(F.col(impedance), F.lit(0.0)).cast("double").alias("imp"), F.when(F.col(start), F.lit(0.0)).alias("dist"))
+    near = [F.struct(F.floor((F.col("row") + r) / tile).alias("r"), F.floor((F.col("col") + c) / tile).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1)]
+    while True:
+        dealt = cells.withColumn("_t", F.explode(F.array_distinct(F.array(*near))))
+        cells = cut(dealt.groupBy("_t.r", "_t.c").applyInPandas(_relaxed(limit, tile), "row int, col int, imp double, dist double, changed boolean"))
+        if cells.filter("changed").isEmpty():
+            return cells.select("row", "col", F.when(~F.isnan("dist"), F.col("dist")).alias("dist"))
+        cells = cells.select("row", "col", "imp", F.when(~F.isnan("dist"), F.col("dist")).alias("dist"))
 
 
 def mapping(source: DataFrame, factor: float, row0: float = 0.0, col0: float = 0.0) -> DataFrame:
