@@ -16,7 +16,7 @@ from .mixing import mix_rates
 from .near_dedup import near_dedup
 from .quality import quality_rules
 from .secrets import secrets
-from .segment import decoded, sampled_segmentations
+from .segment import sampled_segmentations
 from .substrings import repeated_substrings
 
 
@@ -67,8 +67,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All samples of each text, and a digest of what the last of them decodes to."""
     rows = sampled_segmentations(table(spark, sf_dir, "documents"))
-    rows = decoded(rows.withColumn("ids", F.element_at("samples", -1)["ids"]))
-    return rows.select("doc_id", "samples", F.size("samples").cast("long").alias("n_samples"), F.sha2("text", 256).alias("decoded_sha256"))
+    return rows.select("doc_id", "samples", F.size("samples").cast("long").alias("n_samples"), "decoded_sha256")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

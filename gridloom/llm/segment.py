@@ -22,6 +22,7 @@ Random numbers are hashes of a row's key, so they depend on neither batches nor
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,7 @@ SEED = 1
 ZIPF, TEMPER = 10.0, 1.0
 SPACE = 0x20
 MARK = "▁".encode()
-FILTER = 22
+FILTER = 20
 
 
 class Vocabulary:
@@ -229,11 +230,6 @@ def _cut_off(location: np.ndarray, limit: np.ndarray | float, u: np.ndarray) ->
         return np.where(np.isneginf(location), -np.inf, location - np.log(np.exp(np.minimum(location - limit, 700)) - np.log(u)))
 
 
-def _rest(chance: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.where(chance > 1 - 1e-12, -np.inf, np.log(np.maximum(1 - chance, 1e-300)))
-
-
 @dataclass
 class Path:
     """One sample of a text: tokens and edges of its steps, log chances before them, and what is open beside each."""
@@ -283,8 +279,11 @@ class Texts:
         sums = np.concatenate([[0.0], np.cumsum(log)])
         each = np.repeat(np.arange(len(rows)), size)
         logs = sums[:-1] + (before - sums[cut[:-1]])[each]
-        u = _uniform(mix(self.keys[rows] + np.uint64(7919 * round_))[each] + (np.arange(len(log)) - cut[:-1][each]).astype(np.uint64) * STEP)
-        return logs, _cut_off(logs + _rest(self.lattices.chance[walked.edge]), limit[each], u), before + sums[cut[1:]] - sums[cut[:-1]]
+        split = np.flatnonzero(log < -1e-12)  # steps that had a choice
+        u = _uniform(mix(self.keys[rows] + np.uint64(7919 * round_))[each[split]] + (split - cut[:-1][each[split]]).astype(np.uint64) * STEP)
+        open_ = np.full(len(log), -np.inf)
+        open_[split] = _cut_off(logs[split] + np.log(np.maximum(1 - self.lattices.chance[walked.edge[split]], 1e-300)), limit[each[split]], u)
+        return logs, open_, before + sums[cut[1:]] - sums[cut[:-1]]
 
     def sampled(self, k: int) -> list[tuple[list[Path], float]]:
         """For each text its k samples, or all there are, by falling G; and the threshold."""
@@ -334,14 +333,14 @@ class Texts:
         """Edges at a step that no sample has taken from there, and their chances."""
         edges = self.lattices.edges
         place = int(np.searchsorted(edges, path.edge[s], "right") - 1)
-        out = np.arange(edges[place], edges[place + 1])
-        out = out[~np.isin(out, [path.edge[s], *path.used.get(s, ())])]
+        taken = {int(path.edge[s]), *path.used.get(s, ())}
+        out = np.array([e for e in range(edges[place], edges[place + 1]) if e not in taken], np.int64)
         return out, self.lattices.chance[out]
 
     def _other(self, row: int, path: Path, s: int, round_: int) -> int:
         options, chance = self._options(path, s)
         u = _uniform(mix(self.keys[row : row + 1] + np.uint64(104729 * round_)))[0] * chance.sum()
-        return int(options[min(int(np.searchsorted(np.cumsum(chance), u)), len(options) - 1)])
+        return int(options[min(int(chance.cumsum().searchsorted(u)), len(options) - 1)])
 
     def _narrow(self, row: int, path: Path, s: int, g: float, edge: int, round_: int) -> None:
         path.used.setdefault(s, set()).add(edge)
@@ -376,9 +375,9 @@ def _encode(k: int, seed: int, path: str, temper: float) -> Callable[[Iterator[p
         vocab = vocabulary(path, temper)
         for batch in batches:
             keys = mix(batch.column("key").to_numpy().view(np.uint64) + np.uint64(seed))
-            for lo, hi, data, offsets in pieces(batch.column("text"), 1 << 22):
+            for lo, hi, data, offsets in pieces(batch.column("text"), 3 << 19):
                 texts = Texts(vocab, data, offsets, keys[lo:hi])
-                flat, bounds, logs, gs, inclusions, counts = [], [0], [], [], [], [0]
+                flat, bounds, logs, gs, inclusions, counts, digests = [], [0], [], [], [], [0], []
                 for found, threshold in texts.sampled(k):
                     for p in found:
                         flat.append(texts.ids(p))
@@ -387,15 +386,19 @@ def _encode(k: int, seed: int, path: str, temper: float) -> Callable[[Iterator[p
                         gs.append(p.g)
                         inclusions.append(1.0 if np.isneginf(threshold) else float(-np.expm1(-np.exp(min(p.log - threshold, 700)))))
                     counts.append(counts[-1] + len(found))
+                    digests.append(hashlib.sha256(_joined(vocab, flat[-1])).hexdigest())
                 ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32()))
                 samples = pa.StructArray.from_arrays([ids, pa.array(logs, pa.float64()), pa.array(gs, pa.float64()), pa.array(inclusions, pa.float64())], fields=list(SAMPLE))
-                yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.ListArray.from_arrays(pa.array(counts, pa.int32()), samples)], names=["id", "samples"])
+                yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.ListArray.from_arrays(pa.array(counts, pa.int32()), samples), pa.array(digests, pa.string())], names=["id", "samples", "decoded_sha256"])
+                del texts, flat, ids, samples
 
     return run
 
 
 def sampled_segmentations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, seed: int = SEED, model: str = MODEL, temper: float = TEMPER) -> DataFrame:
-    """One row for each row of df: id, samples (ids of pieces, log_chance, g, inclusion), by falling g.
+    """One row for each row of df: id, samples (ids of pieces, log_chance, g, inclusion) by falling g, decoded_sha256.
+
+    decoded_sha256 is the digest of the text that the last sample's pieces decode to.
 
     Samples of a text differ; a text with fewer segmentations than asked for has them all, with
     inclusion 1. An empty or null text has one sample without pieces. The row key is the id; a null
@@ -406,7 +409,7 @@ def sampled_segmentations(df: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = dict(df.dtypes)[id_col]
     text = F.replace(text_of(text_col), F.lit(MARK.decode()), F.lit(" "))
     rows = df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col)).alias("key"))
-    schema = f"id {kind}, samples array<struct<ids:array<int>,log_chance:double,g:double,inclusion:double>>"
+    schema = f"id {kind}, samples array<struct<ids:array<int>,log_chance:double,g:double,inclusion:double>>, decoded_sha256 string"
     return rows.mapInArrow(_encode(samples, seed, model, temper), schema).withColumnRenamed("id", id_col)
 
 
