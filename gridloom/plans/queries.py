@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import ID
 from ..functions import elementwise as el
 from ..functions import strings as st
 from ..operators import aggregate as ag
+from ..operators import allocation as al
 from ..operators import breaks as br
 from ..operators import geometry as ge
 from ..operators import grid as gr
@@ -23,6 +24,7 @@ from ..operators import matrix as ma
 from ..operators import network as ne
 from ..operators import order as od
 from ..operators import select as se
+from ..streaming import events as ev
 from . import model as mo
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -616,3 +618,40 @@ def model_aggregates(spark, sf):
 def for_each(spark, sf):
     model = mo.Model({"part": domain(spark, sf, "part")})
     return model.attributes("part", **mo.for_each({f"x{k}": k for k in (2, 3, 4)}, "p_size * {}")).select(ID, "x2", "x3", "x4")
+
+
+# Allocation and time
+
+
+@query()
+def discrete_alloc(spark, sf):
+    parts = domain(spark, sf, "part").select(ID, "p_size", "p_retailprice")
+    uses = F.explode(F.array(*[F.struct(F.lit(u).alias("use"), s.cast("double").alias("suitability")) for u, s in (("field", F.col("p_size") * 20), ("forest", F.col("p_retailprice")), ("town", F.lit(900.0)))]))
+    n = parts.count()
+    return al.discrete_alloc(parts.withColumn("u", uses).select(ID, "u.use", "u.suitability"), {"field": n // 3, "forest": n // 3, "town": n})[0]
+
+
+@query("""WITH t AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS r FROM part), l AS (SELECT p.p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p.p_partkey) AS r FROM part p JOIN t USING (p_partkey) WHERE t.r > 50)
+SELECT p_partkey AS _id, 'field' AS use FROM t WHERE r <= 50 UNION ALL SELECT p_partkey, 'forest' FROM l WHERE r <= 50""")
+def greedy_alloc(spark, sf):
+    parts = domain(spark, sf, "part")
+    suits = parts.select(ID, F.lit("field").alias("use"), F.col("p_size").cast("double").alias("suitability")).unionAll(parts.select(ID, F.lit("forest"), F.col("p_retailprice")))
+    return al.greedy_alloc(suits, {"field": 50, "forest": 50})
+
+
+@query()
+def ipf_alloc(spark, sf):
+    cells = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("row"), F.col("c_mktsegment").alias("col")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    rows = cells.select("row").distinct().withColumn("total", F.lit(100.0))
+    cols = cells.select("col").distinct().crossJoin(F.broadcast(rows.agg((F.sum("total") / 5).alias("total"))))
+    return rounded(al.ipf_alloc(cells, rows, cols, 8))
+
+
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def event_windows(spark, sf):
+    return ev.windowed(table(spark, sf, "events"), "ts", "event_type", "value", "1 hour").select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark, sf):
+    return ev.sessions(table(spark, sf, "events"), "ts", "user_id", "30 minutes")
