@@ -29,8 +29,8 @@ from .common import SPACE_CHARS, SPACES, cut, text_of
 BUCKETS = 1 << 13
 #: Labelled rows that the classifier learns from, at most: those of the least hashes of their ids.
 SAMPLE = 20_000
-#: A domain's word chances start from those of all labelled rows, which weigh as much as so many of its words.
-PRIOR_WORDS = 50_000
+#: A domain's word chances start from those of all labelled rows, which weigh as much as so many of its words, and keep this part at least.
+PRIOR_WORDS, BACKGROUND = 2_000, 0.25
 ROUNDS = 25
 CLOSE = 1e-6
 
@@ -62,7 +62,7 @@ def learn(df: DataFrame, labels: DataFrame, domains: Sequence[str], id_col: str,
     sizes = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
     shared = (counts.sum(axis=0) + 1) / (counts.sum() + BUCKETS)
     own = (counts + shared) / (counts.sum(axis=1, keepdims=True) + 1)
-    background = PRIOR_WORDS / (counts.sum(axis=1, keepdims=True) + PRIOR_WORDS)
+    background = np.maximum(BACKGROUND, PRIOR_WORDS / (counts.sum(axis=1, keepdims=True) + PRIOR_WORDS))
     share = np.log((1 - background) * own + background * shared)
     total = sum(sizes.values()) + len(domains)
     prior = [math.log((sizes.get(d, 0) + 1) / total) for d in domains]
