@@ -418,7 +418,7 @@ def _decode(path: str, temper: float) -> Callable[[Iterator[pa.RecordBatch]], It
         vocab = vocabulary(path, temper)
         for batch in batches:
             column = batch.column("ids")
-            texts = [None if x is None else _joined(vocab, np.asarray(x.values)).decode("utf-8", "replace") for x in column]
+            texts = [None if x is None else _joined(vocab, np.array(x, np.int64)).decode("utf-8", "replace") for x in column.to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "ids"], pa.array(texts, pa.string())], names=[*[c for c in batch.schema.names if c != "ids"], "text"])
 
     return run
