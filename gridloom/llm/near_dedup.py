@@ -10,9 +10,10 @@
    class is in, only its least centre whose sketch is close enough: at most one pair a class.
 4. Pairs are confirmed on their full sets and make components.
 5. What a star can miss are links between members of a bucket which are in different components
-   by now. The members of buckets that still hold several meet with their full sets, in blocks; a
-   block compares sketches, then the sets of what is close, and sends out only links that join
-   two components it had apart. So no link is lost, and no bucket emits its pairs.
+   by now. The members of buckets that still hold several meet in blocks, first by their sketches
+   alone, which tells the members that have anything close in another component; then those meet
+   with their texts, and a block sends out only links that join two components it had apart. So
+   no link is lost, and no bucket emits its pairs.
 
 A sketch is one byte a bin. Pairs of similarity 0.85 agree in 204 of 240 bins, give or take 6;
 those below CLOSE agreements are not compared (under 1e-8 of the true ones).
@@ -93,16 +94,6 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep))
 
 
-def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in pieces(batch.column("text")):
-                found = [x.tobytes() for x in shingle_sets(data, offsets, width)]
-                yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.array(found, pa.binary())], names=["id", "found"])
-
-    return run
-
-
 class _Apart:
     """Which components are still apart."""
 
@@ -120,18 +111,21 @@ class _Apart:
         return x != y
 
 
-def _links(rows: list[tuple], p: int, q: int, percent: int) -> list[tuple[int, int]]:
-    """Links between rows (id, label, n, sketch, found, block) of blocks p and q that join components."""
-    labels, sizes, sides = (np.array([r[k] for r in rows]) for k in (1, 2, 5))
-    if (labels == labels[0]).all():
-        return []
-    sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, BINS)
-    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-    right, apart, out = np.flatnonzero(sides == q), _Apart(), []
-    for i in np.flatnonzero(sides == p):
+def _closely(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, sides: np.ndarray, p: int, q: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of block p with the rows of block q that are close by size and sketch and of another component."""
+    right = np.flatnonzero(sides == q)
+    for i in np.flatnonzero(sides == p) if (labels != labels[0]).any() else ():
         js = right[right > i] if p == q else right
         js = js[(labels[js] != labels[i]) & (100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i]))]
         js = js[(sketch[js] == sketch[i]).sum(axis=1) >= CLOSE]
+        if len(js):
+            yield int(i), js
+
+
+def _linked(sets: list[np.ndarray], ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, sides: np.ndarray, p: int, q: int, percent: int) -> list[tuple[int, int]]:
+    """Links between blocks p and q that join components."""
+    apart, out = _Apart(), []
+    for i, js in _closely(ids, labels, sizes, sketch, sides, p, q, percent):
         js = np.array([j for j in js if apart.root(int(labels[j])) != apart.root(int(labels[i]))], np.int64)
         for some in np.array_split(js, max(1, len(js) // 256)):
             if not len(some):
@@ -141,21 +135,34 @@ def _links(rows: list[tuple], p: int, q: int, percent: int) -> list[tuple[int, i
             shared = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
             for j in some[100 * shared >= percent * (sizes[i] + sizes[some] - shared)]:
                 if apart.join(int(labels[i]), int(labels[j])):
-                    out.append((rows[i][0], rows[j][0]))
+                    out.append((int(ids[i]), int(ids[j])))
     return out
 
 
-def _blocks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by bucket and pair of blocks (p, q); within p = q all meet, else those across."""
+def _blocks(percent: int, width: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted by bucket and pair of blocks (p, q); within p = q all meet, else those across.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
-            found = _links(rows, key[1], key[2], percent)
+    Without a width there are no texts, and what comes out are the members that have something
+    close (key, p, q, id); with one the joining links (u, v).
+    """
+
+    def done(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
+        ids, labels, sizes, sides = (np.array([r[k] for r in rows]) for k in range(4))
+        sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, BINS)
+        if width:
+            sets = [x for _, _, data, offsets in pieces(pa.array([r[5] for r in rows], pa.large_string())) for x in shingle_sets(data, offsets, width)]
+            found = _linked(sets, ids, labels, sizes, sketch, sides, key[1], key[2], percent)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        near = np.zeros(len(ids), bool)
+        for i, js in _closely(ids, labels, sizes, sketch, sides, key[1], key[2], percent):
+            near[i] = near[js] = True
+        n = int(near.sum())
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.int64()), pa.array([key[1]] * n, pa.int32()), pa.array([key[2]] * n, pa.int32()), pa.array(ids[near], pa.int64())], names=["key", "p", "q", "id"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "p", "q", "id", "label", "n", "sketch", "found", "block")]
+            columns = [batch.column(c).to_pylist() for c in ("key", "p", "q", "id", "label", "n", "block", "sketch", *(["text"] if width else []))]
             for row in zip(*columns, strict=True):
                 if row[:3] != key:
                     if held:
@@ -238,11 +245,15 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     spread = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("m"))
     spread = spread.filter("least < most").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     still = cut(labelled.join(spread, "key"))
-    sets = still.select("id").distinct().join(rows, "id").select("id", "text").mapInArrow(_sets(width), "id long, found binary").join(sketches, "id")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("p"), F.greatest("block", other).alias("q")))
-    mine = still.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sets, "id")
-    mine = mine.withColumn("pair", F.explode(met)).select("key", "pair.p", "pair.q", "id", "label", "n", "sketch", "found", "block")
-    rest = mine.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id").mapInArrow(_blocks(percent), "u long, v long")
+    mine = still.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("pair", F.explode(met))
+    mine = mine.select("key", "pair.p", "pair.q", "id", "label", "block").join(sketches, "id").select("key", "p", "q", "id", "label", "n", "block", "sketch")
+
+    def gathered(members: DataFrame) -> DataFrame:
+        return members.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
+
+    near = cut(gathered(mine).mapInArrow(_blocks(percent, None), "key long, p int, q int, id long"))
+    rest = gathered(mine.join(near, ["key", "p", "q", "id"], "left_semi").join(rows, "id")).mapInArrow(_blocks(percent, width), "u long, v long")
     final = components(links.unionAll(rest))
 
     member = signed.groupBy("id", "n", "f1", "f2").agg(F.count(F.lit(1)).alias("copies")).join(classes, ["n", "f1", "f2"], "left")

@@ -88,6 +88,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op8_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) > 2 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM d),
+        s AS (SELECT doc_id, unnest(g) AS s, len(g) AS n FROM g),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k, any_value(a.n) AS nx, any_value(b.n) AS ny FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p WHERE 100 * k >= 85 * (nx + ny - k)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT doc_id AS pos, doc_id AS root FROM g UNION SELECT e.y, r.root FROM r JOIN e ON r.pos = e.x),
+        m AS (SELECT pos AS doc_id, min(root) AS component_id FROM r GROUP BY pos)
+        SELECT doc_id, len(g) AS n_shingles, component_id, doc_id = component_id AS kept,
+               CASE WHEN len(g) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY md5(array_to_string(g, '|'))) END AS class_id
+        FROM g JOIN m USING (doc_id)
+    """,
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
