@@ -60,10 +60,8 @@ def greedy_alloc(suitability: DataFrame, most: Mapping[str, int]) -> DataFrame:
 def ipf_alloc(cells: DataFrame, row_totals: DataFrame, col_totals: DataFrame, rounds: int = 20) -> DataFrame:
     """(row, col, value): a table scaled by turns so that its rows and columns sum to the totals (row, total), (col, total)."""
     out = cells
-    for i in range(rounds):
+    for _ in range(rounds):
         for axis, totals in (("row", row_totals), ("col", col_totals)):
             factors = out.groupBy(axis).agg(F.sum("value").alias("_s")).join(totals, axis).select(axis, F.coalesce(F.try_divide("total", "_s"), F.lit(0.0)).alias("_f"))
-            out = out.join(factors, axis).select("row", "col", (F.col("value") * F.col("_f")).alias("value"))
-        if i % 4 == 3:
-            out = cut(out)
+            out = cut(out.join(factors, axis).select("row", "col", (F.col("value") * F.col("_f")).alias("value")))
     return out

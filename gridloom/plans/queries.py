@@ -548,18 +548,18 @@ def _rings(spark: SparkSession, sf: str) -> DataFrame:
     return domain(spark, sf, "nation").select(ID, F.array(*[ge.point(n * 4 + x, F.lit(float(y))) for x, y in corners]).alias("ring"))
 
 
-@query("""SELECT CAST(n_nationkey AS BIGINT) AS _id, round(abs(8*1 - 0 + 8*7 - 9*1 + 9*6 - 1*7 + 1*0 - 0*6) / 2.0, 6) AS area, round(sqrt(65.0) + sqrt(37.0) + sqrt(65.0), 6) AS length, n_nationkey * 4.0 AS x0, n_nationkey * 4.0 + 9 AS x1, n_nationkey * 4.0 + 4.5 AS xc, n_nationkey * 4.0 + 1 AS xl FROM nation""")
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS _id, CAST((8*7 - 9*1 + 9*6 - 1*7) / 2.0 AS DOUBLE) AS area, round(sqrt(65.0) + sqrt(37.0) + sqrt(65.0), 6) AS length, CAST(n_nationkey * 4 AS DOUBLE) AS x0, CAST(n_nationkey * 4 + 9 AS DOUBLE) AS x1, CAST(n_nationkey * 4 + 4.5 AS DOUBLE) AS xc, CAST(n_nationkey * 4 + 1 AS DOUBLE) AS xl FROM nation""")
 def sequence_measures(spark, sf):
     r = F.col("ring")
     return rounded(_rings(spark, sf).select(ID, ge.area(r).alias("area"), ge.arc_length(r).alias("length"), ge.lower_bound(r)["x"].alias("x0"), ge.upper_bound(r)["x"].alias("x1"), ge.center_bound(r)["x"].alias("xc"), ge.last_point(r)["x"].alias("xl")))
 
 
-@query("""WITH c(o, x, y) AS (VALUES (0, 0, 0), (1, 8, 1), (2, 9, 7), (3, 1, 6)) SELECT row_number() OVER (ORDER BY n_nationkey, o) - 1 AS _id, CAST(n_nationkey AS BIGINT) AS sequence_rel, o AS ordinal, n_nationkey * 4.0 + x AS x, CAST(y AS DOUBLE) AS y FROM nation CROSS JOIN c""")
+@query("""WITH c(o, x, y) AS (VALUES (0, 0, 0), (1, 8, 1), (2, 9, 7), (3, 1, 6)) SELECT row_number() OVER (ORDER BY n_nationkey, o) - 1 AS _id, CAST(n_nationkey AS BIGINT) AS sequence_rel, o AS ordinal, CAST(n_nationkey * 4 + x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM nation CROSS JOIN c""")
 def sequence2points(spark, sf):
     return ge.sequence2points(_rings(spark, sf), "ring").select(ID, "sequence_rel", "ordinal", F.col("point.x").alias("x"), F.col("point.y").alias("y"))
 
 
-@query("""WITH c(o, x, y, u, v) AS (VALUES (0, 0, 0, 8, 1), (1, 8, 1, 9, 7), (2, 9, 7, 1, 6)) SELECT row_number() OVER (ORDER BY n_nationkey, o) - 1 AS _id, CAST(n_nationkey AS BIGINT) AS sequence_rel, o AS ordinal, n_nationkey * 4.0 + x AS x, CAST(y AS DOUBLE) AS y, n_nationkey * 4.0 + u AS u, CAST(v AS DOUBLE) AS v FROM nation CROSS JOIN c""")
+@query("""WITH c(o, x, y, u, v) AS (VALUES (0, 0, 0, 8, 1), (1, 8, 1, 9, 7), (2, 9, 7, 1, 6)) SELECT row_number() OVER (ORDER BY n_nationkey, o) - 1 AS _id, CAST(n_nationkey AS BIGINT) AS sequence_rel, o AS ordinal, CAST(n_nationkey * 4 + x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(n_nationkey * 4 + u AS DOUBLE) AS u, CAST(v AS DOUBLE) AS v FROM nation CROSS JOIN c""")
 def arc2segm(spark, sf):
     return ge.arc2segm(_rings(spark, sf), "ring").select(ID, "sequence_rel", "ordinal", F.col("point.x").alias("x"), F.col("point.y").alias("y"), F.col("next_point.x").alias("u"), F.col("next_point.y").alias("v"))
 
