@@ -59,11 +59,15 @@ class EliasFano:
         at = np.zeros(len(x), np.int64)
         later = np.flatnonzero(high > 0)
         at[later] = self._select(high[later] - 1, self.zeros, False) + 1 - high[later]
-        active = np.flatnonzero(at < end)
+        # Halving: a context with many successors has many numbers of one high part.
+        top = end.copy()
+        active = np.flatnonzero(at < top)
         while len(active):
-            active = active[self._low(at[active]) < low[active]]
-            at[active] += 1
-            active = active[at[active] < end[active]]
+            middle = (at[active] + top[active]) >> 1
+            less = self._low(middle) < low[active]
+            at[active[less]] = middle[less] + 1
+            top[active[~less]] = middle[~less]
+            active = active[at[active] < top[active]]
         found = at < end
         found[found] = self._low(at[found]) == low[found]
         return at, found
