@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..core import ID, cut
 
 
+JITTER = 1e-6
+
+
 def _priced(suitability: DataFrame, prices: Mapping[str, float]) -> DataFrame:
     """Each cell's best and second best type at the prices: _id, use, best, margin, second; ties to the first type."""
     price = F.lit(0.0)
@@ -20,17 +23,18 @@ def _priced(suitability: DataFrame, prices: Mapping[str, float]) -> DataFrame:
     return offers.select(ID, F.col("o")[0]["use"].alias("use"), (-F.col("o")[0]["b"]).alias("bid"), F.get("o", F.lit(1))["use"].alias("second"), (F.get("o", F.lit(1))["b"] - F.col("o")[0]["b"]).alias("margin"))
 
 
-def discrete_alloc(suitability: DataFrame, most: Mapping[str, int], rounds: int = 200, step: float = 1e-9) -> tuple[DataFrame, dict[str, float]]:
+def discrete_alloc(suitability: DataFrame, most: Mapping[str, int], rounds: int = 100, step: float = 1e-12) -> tuple[DataFrame, dict[str, float]]:
     """Cells to types so that no type has more than its claim: (_id, use), and the shadow prices.
 
     suitability: _id, use, suitability, a row for each cell and type. A price auction: while a type
     is overclaimed, its price rises just above the margin at which enough of its cells prefer their
-    second type. Prices are a number a type; cells stay distributed. Cells left over beyond all
-    claims have no use. Each cell's choice is the best at the final prices, so the total is as good
-    as any with these claims, up to `step` a cell.
+    second type. Prices are a number a type; cells stay distributed. Each cell's choice is the best at the final prices, so the total is as good
+    as any with these claims, up to JITTER a cell. Claims that can't be met raise an error.
     """
     prices = dict.fromkeys(most, 0.0)
-    suitability = cut(suitability)
+    # Ties are broken by a hash of the cell, far below any difference that matters.
+    jitter = F.pmod(F.xxhash64(ID, "use"), F.lit(1 << 20)) * (JITTER / (1 << 20))
+    suitability = cut(suitability.withColumn("suitability", F.col("suitability") + jitter))
     for _ in range(rounds):
         chosen = cut(_priced(suitability, prices))
         counts = {r[0]: r[1] for r in chosen.groupBy("use").count().collect()}
@@ -44,7 +48,7 @@ def discrete_alloc(suitability: DataFrame, most: Mapping[str, int], rounds: int
         if rise is None:
             break
         prices[use] += rise + step
-    return chosen.select(ID, "use"), prices
+    raise RuntimeError("the claims can't be met, or not in so many rounds")
 
 
 def greedy_alloc(suitability: DataFrame, most: Mapping[str, int]) -> DataFrame:

@@ -94,7 +94,8 @@ class Parser:
         out = self.product()
         while sign := self.take("+", "-"):
             right = self.product()
-            is_text = getattr(out, "_is_text", False) or getattr(right, "_is_text", False)
+            # A column answers to any name with a field, so what is marked is looked up in its own dictionary.
+            is_text = vars(out).get("_is_text", False) or vars(right).get("_is_text", False)
             out = F.concat(out, right) if is_text and sign == "+" else out + right if sign == "+" else out - right
             out._is_text = is_text
         return out
@@ -107,7 +108,13 @@ class Parser:
 
     def raised(self) -> Column:
         out = self.signed()
-        return el.power(out, self.raised()) if self.take("^") else out
+        if not self.take("^"):
+            return out
+        kind, x = self.tokens[self.at] if self.at < len(self.tokens) else ("", "")
+        if kind == "number" and x.isdigit():  # small whole powers are products
+            self.at += 1
+            return el.power(out, int(x))
+        return el.power(out, self.raised())
 
     def signed(self) -> Column:
         if self.take("-"):

@@ -183,9 +183,14 @@ def test_geometry(spark):
 def test_allocation(spark):
     suits = [(i, u, float((i * 7 + k * 5) % 11)) for i in range(12) for k, u in enumerate("abc")]
     df = spark.createDataFrame(suits, "_id bigint, use string, suitability double")
-    out, _ = al.discrete_alloc(df, {"a": 4, "b": 4, "c": 4})
-    counts = {r[0]: r[1] for r in out.groupBy("use").count().collect()}
-    assert counts == {"a": 4, "b": 4, "c": 4}
+    out, prices = al.discrete_alloc(df, {"a": 3, "b": 12, "c": 12})
+    chosen = dict(rows(out, ID, "use"))
+    assert len(chosen) == 12 and sum(u == "a" for u in chosen.values()) <= 3
+    value = {(i, u): s for i, u, s in suits}
+    # Giving type a to no more than three cells loses least where it gains least over the second best.
+    gains = sorted((max(0.0, value[i, "a"] - max(value[i, "b"], value[i, "c"])) for i in range(12)), reverse=True)
+    best = sum(max(value[i, "b"], value[i, "c"]) for i in range(12)) + sum(gains[:3])
+    assert abs(sum(value[i, u] for i, u in chosen.items()) - best) < 1e-4 and prices["b"] == prices["c"] == 0
 
 
 def test_matrices(spark):
