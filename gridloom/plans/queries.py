@@ -517,12 +517,12 @@ def strongly_connected_components(spark, sf):
     return ne.strongly_connected(nodes, edges)
 
 
-@query("""WITH RECURSIVE t AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 100 > 0 THEN p_partkey - 1 - (p_partkey % 100 - 1) // 2 END AS up FROM part), r AS (SELECT n, n AS at, up FROM t UNION ALL SELECT r.n, t.n, t.up FROM r JOIN t ON t.n = r.up) SELECT n AS _id, at AS root FROM r WHERE up IS NULL""")
+@query("""WITH RECURSIVE t AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 100 > 0 THEN p_partkey - 1 - (p_partkey % 100 - 1) // 2 END AS up FROM part), r AS (SELECT n, n AS node, up FROM t UNION ALL SELECT r.n, t.n, t.up FROM r JOIN t ON t.n = r.up) SELECT n AS _id, node AS root FROM r WHERE up IS NULL""")
 def service_area(spark, sf):
     return ne.service_area(_forest(spark, sf))
 
 
-@query("""WITH RECURSIVE t AS (SELECT p_partkey AS n, CAST(p_size AS DOUBLE) AS f, CASE WHEN p_partkey % 100 > 0 THEN p_partkey - 1 - (p_partkey % 100 - 1) // 2 END AS up FROM part), r AS (SELECT n AS at, f, up FROM t UNION ALL SELECT t.n, r.f, t.up FROM r JOIN t ON t.n = r.up) SELECT at AS _id, sum(f) AS total FROM r GROUP BY at""")
+@query("""WITH RECURSIVE t AS (SELECT p_partkey AS n, CAST(p_size AS DOUBLE) AS f, CASE WHEN p_partkey % 100 > 0 THEN p_partkey - 1 - (p_partkey % 100 - 1) // 2 END AS up FROM part), r AS (SELECT n AS node, f, up FROM t UNION ALL SELECT t.n, r.f, t.up FROM r JOIN t ON t.n = r.up) SELECT node AS _id, sum(f) AS total FROM r GROUP BY node""")
 def trace_back(spark, sf):
     return ne.trace_back(_forest(spark, sf), "p_size")
 
