@@ -186,13 +186,13 @@ def anti_join(spark, sf):
 # Aggregation
 
 
-@query("""SELECT n_nationkey AS _id, coalesce(round(sum(s_acctbal), 4), 0) AS s, count(s_acctbal) AS n, round(avg(s_acctbal), 6) AS mean, round(var_pop(s_acctbal), 4) AS var, round(stddev_pop(s_acctbal), 6) AS sd, min(s_acctbal) AS low, max(s_acctbal) AS high,
+@query("""SELECT n_nationkey AS _id, coalesce(round(sum(s_acctbal), 4), 0) AS s, count(s_acctbal) AS n, round(avg(s_acctbal), 6) AS mean, round(var_pop(s_acctbal), 2) AS var, round(stddev_pop(s_acctbal), 4) AS sd, min(s_acctbal) AS low, max(s_acctbal) AS high,
 coalesce(bool_or(s_acctbal < 0), false) AS some, coalesce(bool_and(s_acctbal > 0), true) AS every, min_by(s_name, s_suppkey) AS first, max_by(s_name, s_suppkey) AS last, arg_min(s_suppkey, (s_acctbal, s_suppkey)) AS at_low, arg_max(s_suppkey, (s_acctbal, -s_suppkey)) AS at_high, count(DISTINCT s_acctbal) AS kinds
 FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_nationkey""")
 def along_relation(spark, sf):
     x = F.col("s_acctbal")
     out = ag.along(domain(spark, sf, "supplier"), "s_nationkey", domain(spark, sf, "nation"), s=("sum", x), n=("count", x), mean=("mean", x), var=("var", x), sd=("sd", x), low=("min", x), high=("max", x), some=("any", x < 0), every=("all", x > 0), first=("first", F.col("s_name")), last=("last", F.col("s_name")), at_low=("min_index", x), at_high=("max_index", x), kinds=("unique_count", x))
-    return out.select(F.col(ID).cast("int").alias(ID), F.round("s", 4).alias("s"), "n", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var"), F.round("sd", 6).alias("sd"), "low", "high", "some", "every", "first", "last", "at_low", "at_high", "kinds")
+    return out.select(F.col(ID).cast("int").alias(ID), F.round("s", 4).alias("s"), "n", F.round("mean", 6).alias("mean"), F.round("var", 2).alias("var"), F.round("sd", 4).alias("sd"), "low", "high", "some", "every", "first", "last", "at_low", "at_high", "kinds")
 
 
 @query("""SELECT round(sum(o_totalprice), 2) AS s, count(o_totalprice) AS n, round(avg(o_totalprice), 6) AS mean, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders""")
