@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, SPACES, cut, text_of
 
-BUCKETS = 1 << 13
+#: A word counts only if its documents tell two domains apart by so much: twice the log of how much likelier they are with a chance for each domain than with a shared one.
+SURE = 20.0
 #: Labelled rows that the classifier learns from, at most: those of the least hashes of their ids.
 SAMPLE = 20_000
 #: A domain's word chances start from those of all labelled rows, which weigh as much as so many of its words, and keep this part at least.
@@ -37,44 +38,114 @@ CLOSE = 1e-6
 
 @dataclass
 class Classifier:
-    """log_prior[k]; weight[k][bucket]: naive Bayes over hashed words, as log odds against domain 0."""
+    """Naive Bayes over the words that tell domains apart, as log odds against domain 0.
+
+    log_prior[k]; words: a table in which the hash of each such word is at one of its two places, of
+    a length that is a power of two; weight[k][place]. All other words say nothing: the rare words
+    of a language that few labelled documents are in would outweigh the few that do tell.
+    """
 
     domains: Sequence[str]
     log_prior: list[float]
+    words: list[int | None]
     weight: list[list[float]]
 
 
-def _buckets(text: Column) -> Column:
-    """A bucket for each word; one null for a text without words."""
+def _hashes(text: Column) -> Column:
+    """A hash for each word; one null for a text without words."""
     words = F.split(F.btrim(F.lower(text), F.lit(SPACE_CHARS)), SPACES)
-    return F.transform(words, lambda w: F.when(w != "", F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+    return F.transform(words, lambda w: F.when(w != "", F.xxhash64(w)))
+
+
+def _table(keys: Sequence[int]) -> list[int | None]:
+    """Each key at one of its two places, by its low bits or by those above the lowest 32: a cuckoo hash a quarter full."""
+    size = 16
+    while size < 4 * len(keys):
+        size *= 2
+    while True:
+        table: list[int | None] = [None] * size
+        for key in keys:
+            held, at = key, key & (size - 1)
+            for _ in range(100):
+                held, table[at] = table[at], held
+                if held is None:
+                    break
+                one, two = held & (size - 1), (held >> 32) & (size - 1)
+                at = two if at == one else one
+            if held is not None:
+                break
+        else:
+            return table
+        size *= 2
+
+
+def _told(docs: Column, docs0: Column, n: int, n0: int) -> Column:
+    """How surely a word tells a domain of n documents, docs of them with it, from one of n0 (see SURE)."""
+
+    def term(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    chance = (docs + docs0) / max(n + n0, 1)
+    return 2 * (term(docs, n * chance) + term(docs0, n0 * chance) + term(n - docs, n * (1 - chance)) + term(n0 - docs0, n0 * (1 - chance)))
 
 
 def learn(df: DataFrame, labels: DataFrame, domains: Sequence[str], id_col: str, text_col: str, sample: int = SAMPLE) -> Classifier:
     """labels: id and domain. The sample is broadcast: it has `sample` rows at most. Ids in two domains count for the lesser."""
+    k = len(domains)
     known = labels.filter(F.col("domain").isin(list(domains))).groupBy("id").agg(F.min("domain").alias("domain"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(known), "id")
-    seen = rows.select("domain", F.explode(_buckets(F.col("text"))).alias("bucket")).groupBy("domain", "bucket").count()
-    counts = np.zeros((len(domains), BUCKETS))
-    for domain, bucket, n in seen.filter("bucket IS NOT NULL").collect():  # domains x BUCKETS rows at most
-        counts[list(domains).index(domain), bucket] = n
-    sizes = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
-    shared = (counts.sum(axis=0) + 1) / (counts.sum() + BUCKETS)
-    own = (counts + shared) / (counts.sum(axis=1, keepdims=True) + 1)
-    background = np.maximum(BACKGROUND, PRIOR_WORDS / (counts.sum(axis=1, keepdims=True) + PRIOR_WORDS))
+    rows = rows.select("domain", F.sort_array(F.array_compact(_hashes(F.col("text")))).alias("hashes"))
+    first = F.transform("hashes", lambda h, i: F.struct(h.alias("word"), F.when((i > 0) & (F.get("hashes", i - 1) == h), 0).otherwise(1).alias("docs")))
+    none = F.array(F.struct(F.lit(None).cast("long").alias("word"), F.lit(1).alias("docs")))  # counts the documents
+    seen = rows.select("domain", F.explode(F.concat(none, first)).alias("w")).groupBy("domain", "w.word").agg(F.count(F.lit(1)).alias("n"), F.sum("w.docs").alias("docs"))
+    seen = cut(seen)
+    found = {r[0]: r for r in seen.groupBy("domain").agg(F.sum(F.when(F.col("word").isNull(), F.col("docs"))), F.sum(F.when(F.col("word").isNotNull(), F.col("n")))).collect()}
+    sizes, tokens = ([found[d][c] or 0 if d in found else 0 for d in domains] for c in (1, 2))
+    total = sum(sizes) + k
+    prior = [math.log((n + 1) / total) for n in sizes]
+    prior = [p - prior[0] for p in prior]
+    if k < 2 or not sum(tokens):
+        return Classifier(domains, prior, [None], [[0.0]] * k)
+
+    def by_domain(column: str, name: str) -> list[Column]:
+        return [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col(column))), F.lit(0)).alias(f"{name}{i}") for i, d in enumerate(domains)]
+
+    wide = seen.filter("word IS NOT NULL").groupBy("word").agg(*by_domain("n", "n"), *by_domain("docs", "d"))
+    told = [_told(F.col(f"d{i}"), F.col("d0"), sizes[i], sizes[0]).alias(f"t{i}") for i in range(1, k)]
+    wide = wide.select("word", *[f"n{i}" for i in range(k)], *told)
+    sure = wide.filter(" OR ".join(f"t{i} > {SURE}" for i in range(1, k))).orderBy("word").collect()  # words of several labelled documents each
+    counts = np.array([[r[f"n{i}"] for r in sure] for i in range(k)], float).reshape(k, len(sure))
+    sure_of = np.array([[True] * len(sure), *[[r[f"t{i}"] > SURE for r in sure] for i in range(1, k)]])
+    sizes_of = np.array(tokens, float)[:, None]
+    shared = counts.sum(axis=0) / sizes_of.sum()
+    own = (counts + shared) / (sizes_of + 1)
+    background = np.maximum(BACKGROUND, PRIOR_WORDS / (sizes_of + PRIOR_WORDS))
     share = np.log((1 - background) * own + background * shared)
-    total = sum(sizes.values()) + len(domains)
-    prior = [math.log((sizes.get(d, 0) + 1) / total) for d in domains]
-    return Classifier(domains, [p - prior[0] for p in prior], [[round(float(x), 6) for x in share[k] - share[0]] for k in range(len(domains))])
+    words = _table([r["word"] for r in sure])
+    column = {r["word"]: i for i, r in enumerate(sure)}
+    odds = np.where(sure_of, share - share[0], 0.0)
+    return Classifier(domains, prior, words, [[0.0 if w is None else round(float(odds[i, column[w]]), 6) for w in words] for i in range(k)])
+
+
+def known_words(classifier: Classifier, hashes: str = "hashes") -> Column:
+    """The places of those hashes that the classifier has."""
+    table = F.from_json(F.lit(json.dumps(classifier.words)), "array<bigint>")
+    last = F.lit(len(classifier.words) - 1).cast("long")
+
+    def place(h: Column) -> Column:
+        one, two = h.bitwiseAND(last).cast("int"), F.shiftrightunsigned(h, 32).bitwiseAND(last).cast("int")
+        return F.when(F.get(table, one) == h, one).when(F.get(table, two) == h, two)
+
+    return F.array_compact(F.transform(hashes, place))
 
 
-def log_odds(classifier: Classifier, buckets: str = "buckets") -> list[Column]:
-    """Log odds of each domain but the first, over the column of buckets."""
+def log_odds(classifier: Classifier, places: str = "places") -> list[Column]:
+    """Log odds of each domain but the first, over the column of places."""
 
     def of(k: int) -> Column:
         weights = F.from_json(F.lit(json.dumps(classifier.weight[k])), "array<double>")
-        return F.aggregate(buckets, F.lit(classifier.log_prior[k]), lambda s, b: s + F.coalesce(F.get(weights, b), F.lit(0.0)))
+        return F.aggregate(places, F.lit(classifier.log_prior[k]), lambda s, p: s + F.get(weights, p))
 
     return [of(k) for k in range(1, len(classifier.domains))]
 
@@ -82,9 +153,10 @@ def log_odds(classifier: Classifier, buckets: str = "buckets") -> list[Column]:
 def _members(df: DataFrame, text_col: str, classifier: Classifier, carried: list[str]) -> tuple[DataFrame, list[str]]:
     """The carried columns as the struct `row`, n and each domain's probability p0, p1 ..."""
     k = len(classifier.domains)
-    df = df.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), _buckets(text_of(text_col)).alias("buckets"))
-    n = F.when(F.get("buckets", F.lit(0)).isNull(), 0).otherwise(F.size("buckets")).cast("long")
-    df = df.select("row", n.alias("n"), F.lit(0.0).alias("o0"), *[o.alias(f"o{i + 1}") for i, o in enumerate(log_odds(classifier))])
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), _hashes(text_of(text_col)).alias("hashes"))
+    n = F.when(F.get("hashes", F.lit(0)).isNull(), 0).otherwise(F.size("hashes")).cast("long")
+    df = df.select("row", n.alias("n"), known_words(classifier).alias("places"))
+    df = df.select("row", "n", F.lit(0.0).alias("o0"), *[o.alias(f"o{i + 1}") for i, o in enumerate(log_odds(classifier))])
     top = F.greatest(*[F.col(f"o{i}") for i in range(k)]) if k > 1 else F.col("o0")
     df = df.select("row", "n", *[F.exp(F.col(f"o{i}") - top).alias(f"e{i}") for i in range(k)])
     total = sum((F.col(f"e{i}") for i in range(1, k)), F.col("e0"))

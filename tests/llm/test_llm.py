@@ -226,6 +226,23 @@ def test_mixing(spark):
     assert mixing.mix_rates(df.filter("false"), labels, ("clean", "toxic"), (0.5, 0.5)).count() == 0
 
 
+def test_mixing_keeps_clean_texts_of_rare_words(spark):
+    """Half of the texts are in a language of compounds, nearly all of its words rare; a few words alone tell toxic ones."""
+    rng = np.random.default_rng(8)
+    parts = ["".join(rng.choice(list("abcdefghijklmnop"), 3)) for _ in range(60)]
+    rows = []
+    for i in range(400):
+        domain = ("clean", "toxic")[i % 8 < 2]
+        words = ["".join(rng.choice(parts, 3)) for _ in range(150)] if i % 2 else list(rng.choice("the of and to in on sun sea hill".split(), 150))
+        if domain == "toxic":
+            words[::20] = rng.choice("scum moron trash".split(), len(words[::20]))
+        rows.append((i, " ".join(words), domain))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, d) for i, _, d in rows if i < 200], "id bigint, domain string")
+    kept = {r.doc_id for r in mixing.drawn(df, labels, ("clean", "toxic"), (1.0, 0.0)).collect()}
+    assert kept == {i for i, _, d in rows if d == "clean"}
+
+
 def brute_spans(texts, length, keep):
     seen, count = set(), Counter(t[i : i + length] for t in texts.values() for i in range(len(t) - length + 1))
     out = {}
