@@ -4,8 +4,9 @@
    grouping set fingerprints; a class is represented by its least id.
 2. A set's hashes fall into BINS bins by their leading bits; the least of each bin is its MinHash.
    An empty bin borrows from the first filled one along a fixed permutation of its own, the same
-   for all sets (optimal densification). ROWS bins make a band; BANDS bands make buckets.
-   Two sets of similarity 0.85 share no bucket with a chance of (1 - 0.85 ** ROWS) ** BANDS, 6e-9.
+   for all sets (optimal densification). Bins make bands, and bands make buckets. A band has as
+   many bins as leave two sets of just the wanted similarity without a bucket in common with a
+   chance of MISSED at most: 6 at 0.85 (6e-9), 5 at 0.8 (5e-9).
 3. Stars: within a bucket each class meets the bucket's least one alone, and of all the stars a
    class is in, only its least centre whose sketch is close enough: at most one pair a class.
 4. Pairs are confirmed on their full sets and make components.
@@ -16,11 +17,14 @@
    no link is lost, and no bucket emits its pairs.
 
 A sketch is one byte a bin. Pairs of similarity 0.85 agree in 204 of 240 bins, give or take 6;
-those below CLOSE agreements are not compared (under 1e-8 of the true ones).
+those with fewer agreements than SPREADS standard deviations below that are not compared: under
+168 at 0.85, 151 at 0.8. Simulated sets with 20 to 300 shingles between them, of just these
+similarities, are 5.3 to 6.9 of their own deviations above that: by the normal tail under 1e-7 miss.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,15 +36,28 @@ from .common import cut, text_of
 from .components import components
 from .tokens import mix, pieces, shingle_sets
 
-BINS, ROWS = 240, 6
-BANDS = BINS // ROWS
-CLOSE = 168
+BINS = 240
+MISSED, SPREADS = 1e-8, 6.5
+#: Below LEAST percent, bands of few bins would bring most sets together.
+LEAST = 50
 PERCENT = 85
 WIDTH = 3
 BLOCK = 2048
 PER_CENTRE = 256
 
 
+def _rows(percent: int) -> int:
+    """Bins of a band, so that pairs of that similarity miss each other with a chance of MISSED at most."""
+    if not LEAST <= percent <= 100:
+        raise ValueError(f"a similarity of {percent} percent; the sketches serve {LEAST} to 100")
+    return max(r for r in range(1, BINS + 1) if BINS % r == 0 and (1 - (percent / 100) ** r) ** (BINS // r) <= MISSED)
+
+
+def _least_agreed(percent: int) -> int:
+    """Bins that pairs of that similarity agree in, at least."""
+    return math.floor(BINS * percent / 100 - SPREADS * math.sqrt(BINS * percent * (100 - percent)) / 100)
+
+
 def _probes(bins: int) -> np.ndarray:
     """For each bin the bins it borrows from, in order: itself first, then a permutation fixed by its number."""
     order = np.argsort(mix(np.arange(bins * bins, dtype=np.uint64) + np.uint64(977)).reshape(bins, bins), axis=1)
@@ -55,7 +72,7 @@ def _signature(ordered: np.ndarray, probes: np.ndarray, edges: np.ndarray) -> np
     return ordered[at[source]]
 
 
-def _signed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _signed(width: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = _probes(BINS)
         edges = np.array([(b << 64) // BINS for b in range(BINS)], np.uint64)
@@ -73,9 +90,9 @@ def _signed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                         sketches.append(b"")
                         continue
                     own = mix(_signature(found, probes, edges) ^ place)
-                    key = own.reshape(BANDS, ROWS)
+                    key = own.reshape(-1, rows)
                     band = key[:, 0]
-                    for r in range(1, ROWS):
+                    for r in range(1, rows):
                         band = mix(band ^ key[:, r])
                     bands.append(band.view(np.int64))
                     sketches.append((own >> np.uint64(13)).astype(np.uint8).tobytes())
@@ -87,11 +104,14 @@ def _signed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
-        keep = (a == b).sum(axis=1) >= CLOSE if batch.num_rows else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep))
+def _close(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
+            keep = (a == b).sum(axis=1) >= least if batch.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep))
+
+    return run
 
 
 class _Apart:
@@ -113,11 +133,11 @@ class _Apart:
 
 def _closely(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, sides: np.ndarray, p: int, q: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Rows of block p with the rows of block q that are close by size and sketch and of another component."""
-    right = np.flatnonzero(sides == q)
+    right, least = np.flatnonzero(sides == q), _least_agreed(percent)
     for i in np.flatnonzero(sides == p) if (labels != labels[0]).any() else ():
         js = right[right > i] if p == q else right
         js = js[(labels[js] != labels[i]) & (100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i]))]
-        js = js[(sketch[js] == sketch[i]).sum(axis=1) >= CLOSE]
+        js = js[(sketch[js] == sketch[i]).sum(axis=1) >= least]
         if len(js):
             yield int(i), js
 
@@ -219,11 +239,11 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; a text of fewer words than
     `width` is one shingle; a text without words, or null, links with nothing. Ids are whole
     numbers and name the texts: rows that repeat an id and a text come out once, and an id has no
-    second text. Rows with a null id are nobody's and left out. An empty table gives an empty
+    second text. percent is LEAST to 100. Rows with a null id are nobody's and left out. An empty table gives an empty
     result. Other columns are not read.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).filter("id IS NOT NULL")
-    signed = cut(rows.mapInArrow(_signed(width), "id long, n long, f1 long, f2 long, bands array<long>, sketch binary"))
+    signed = cut(rows.mapInArrow(_signed(width, _rows(percent)), "id long, n long, f1 long, f2 long, bands array<long>, sketch binary"))
     classes = signed.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("class"))
     owners = signed.join(classes, (signed["id"] == classes["class"]) & (signed["n"] == classes["n"]) & (signed["f1"] == classes["f1"]) & (signed["f2"] == classes["f2"]), "left_semi").dropDuplicates(["id"])
     sketches = owners.select("id", "n", "sketch")
@@ -234,7 +254,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     def sketched(pairs: DataFrame) -> DataFrame:
         a, b = (sketches.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{name}"), F.col("n").alias(f"n_{name}")) for side, name in (("u", "a"), ("v", "b")))
         sized = pairs.join(a, "u").join(b, "v").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        return sized.select("u", "v", "sketch_a", "sketch_b").mapInArrow(_close, "u long, v long")
+        return sized.select("u", "v", "sketch_a", "sketch_b").mapInArrow(_close(_least_agreed(percent)), "u long, v long")
 
     stars = sketched(shared.filter("id != centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct())
     stars = stars.groupBy("u").agg(F.min("v").alias("v"))

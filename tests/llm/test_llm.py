@@ -105,6 +105,28 @@ def test_near_dedup_finds_links_that_stars_miss(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(df).collect()} == root
 
 
+def test_near_dedup_at_other_similarities(spark):
+    assert (near_dedup._rows(85), near_dedup._least_agreed(85)) == (6, 168)
+    words, rng = prose(200, 21).split(), np.random.default_rng(4)
+    texts = []
+    for _ in range(12):
+        texts.append(" ".join(words))
+        for at in rng.choice(200, 14, replace=False):
+            words[at] = prose(1, int(rng.integers(1 << 30)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if 100 * len(a & b) >= 60 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert len(set(root.values())) < 6
+    assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(df, percent=60).collect()} == root
+    with pytest.raises(ValueError):
+        near_dedup.near_dedup(df, percent=20)
+
+
 def test_signature_agreement_estimates_similarity():
     rng = np.random.default_rng(1)
     probes, edges = near_dedup._probes(240), np.array([(b << 64) // 240 for b in range(240)], np.uint64)
