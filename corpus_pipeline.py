@@ -23,6 +23,8 @@ from gridloom.llm.segment import sampled_segmentations
 
 #: Each domain's tokens are to be this multiple of what they are; poor ones are gone by then.
 DOMAINS, FACTORS = ("clean", "toxic"), (1.0, 0.0)
+#: Near copies share this part of their shingles of so many words; op8's query has a contract of its own.
+WIDTH, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+    return keep_one(docs, width=WIDTH, percent=PERCENT)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

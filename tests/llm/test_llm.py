@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gridloom.llm import chat, elias_fano, licences, lm, mixing, near_dedup, quality, segment, substrings
 from gridloom.llm.components import components
 from gridloom.llm.exact_dedup import exact_dedup, keep_first
@@ -127,6 +128,14 @@ def test_near_dedup_at_other_similarities(spark):
         near_dedup.near_dedup(df, percent=20)
 
 
+def test_pipeline_takes_near_copies_by_five_words(spark):
+    """A text cut by 18 percent goes; one with five of 200 words changed stays, though 0.86 alike by three words."""
+    one, two = prose(200, 31).split(), prose(200, 32).split()
+    changed = [f"{w}x" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(two)]
+    df = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(one[:164])), (3, " ".join(two)), (4, " ".join(changed))], "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()} == {1, 3, 4}
+
+
 def test_signature_agreement_estimates_similarity():
     rng = np.random.default_rng(1)
     probes, edges = near_dedup._probes(240), np.array([(b << 64) // 240 for b in range(240)], np.uint64)
