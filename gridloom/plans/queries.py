@@ -507,7 +507,7 @@ def impedance_table(spark, sf):
 @query()
 def impedance_matrix(spark, sf):
     nodes, edges = _roads(spark, sf)
-    return rounded(ne.impedance_matrix(edges, nodes.filter(F.col(ID) % 10 == 0), nodes, limit=20.0))
+    return rounded(ne.impedance_matrix(edges, nodes, nodes))
 
 
 @query()

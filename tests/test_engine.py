@@ -18,6 +18,7 @@ from gridloom.operators import network as ne
 from gridloom.operators import order as od
 from gridloom.operators import select as se
 from gridloom.plans import model as mo
+from gridloom.plans import queries as qu
 from gridloom.sources import io
 
 
@@ -171,6 +172,21 @@ def test_networks(spark):
     assert rows(ne.trace_back(tree, "f"), ID, "total") == [(0, 10.0), (1, 5.0), (2, 3.0), (3, 4.0), (4, 5.0)]
 
 
+def test_impedance_matrix_has_all_pairs(spark, tmp_path):
+    n, rng = 40, np.random.default_rng(5)
+    balance = rng.uniform(-900, 9000, n).round(2).tolist()
+    spark.createDataFrame(list(enumerate(balance)), "s_suppkey bigint, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    dist = np.where(np.eye(n) > 0, 0.0, np.inf)
+    for a in range(n):
+        for d in (1, 7, 13):
+            b = (a + d) % n
+            dist[a, b] = dist[b, a] = min(dist[a, b], d + abs(balance[a]) / 1000)
+    for k in range(n):
+        dist = np.minimum(dist, dist[:, [k]] + dist[[k], :])
+    got = {(r.origin, r.destination): r.impedance for r in qu.QUERIES["impedance_matrix"](spark, str(tmp_path)).collect()}
+    assert len(got) == n * n and all(abs(x - dist[k]) < 1e-5 for k, x in got.items())
+
+
 def test_geometry(spark):
     df = spark.createDataFrame([(0, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]), (1, [])], "_id bigint, g array<struct<x:double,y:double>>")
     g = F.col("g")
