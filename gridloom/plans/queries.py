@@ -147,6 +147,14 @@ def connect_neighbour(spark, sf):
     return rounded(lo.nearest(p, "x", "y", p, "x", "y", 5.0, same=True).select(ID, "nearest_rel", "dist"))
 
 
+@query()
+def connect_neighbour_all(spark, sf):
+    """Of every part the nearest other one. connect_neighbour has the parts of its SQL alone, whose self-join is of all pairs."""
+    p = domain(spark, sf, "part").select(ID, F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 10).alias("y"))
+    cell = 100.0 / max(p.count(), 1) ** 0.5  # a point or so a cell
+    return rounded(lo.nearest(p, "x", "y", p, "x", "y", cell, same=True).select(ID, "nearest_rel", "dist"))
+
+
 @query("""SELECT r_regionkey * 25 + n_nationkey AS _id, CAST(r_regionkey AS BIGINT) AS first_rel, CAST(n_nationkey AS BIGINT) AS second_rel FROM region CROSS JOIN nation""")
 def combine(spark, sf):
     return lo.combine(domain(spark, sf, "region"), domain(spark, sf, "nation"))
