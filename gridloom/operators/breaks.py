@@ -1,8 +1,7 @@
 """Class breaks: the lower bounds of k classes of a numeric attribute.
 
 All but the interval methods work on the distinct values with their counts, which Spark counts. The
-natural breaks read them on the driver in BINS bins at most when there are more distinct values:
-that bound, a parameter, is the resolution of the breaks, not a sample of the rows.
+natural breaks read all of them on the driver, some hundred bytes a distinct value.
 """
 
 from __future__ import annotations
@@ -13,8 +12,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BINS = 4096
-
 
 def _frame(df: DataFrame, breaks: list[float]) -> DataFrame:
     rows = [(i, float(b) if b is not None else None) for i, b in enumerate(breaks)]
@@ -68,26 +65,36 @@ def natural_breaks(values: np.ndarray, weights: np.ndarray, k: int) -> list[floa
     divide and conquer over the places where it may begin.
     """
     n, k = len(values), min(k, len(values))
-    w, wx, wxx = (np.concatenate([[0.0], np.cumsum(a)]) for a in (weights, weights * values, weights * values * values))
+    # Sums run outward from the middle value, and of what values differ from it: a far value at an end is in no other's sums.
+    middle = n // 2
+    x, w = np.asarray(values, np.longdouble) - values[middle], np.asarray(weights, np.longdouble)
+
+    def outward(a: np.ndarray) -> np.ndarray:
+        return np.concatenate([-np.cumsum(a[:middle][::-1])[::-1], [0], np.cumsum(a[middle:])])
+
+    w, wx, wxx = outward(w), outward(w * x), outward(w * x * x)
 
-    def cost(i: np.ndarray, j: int) -> np.ndarray:
-        return wxx[j] - wxx[i] - (wx[j] - wx[i]) ** 2 / (w[j] - w[i])
+    def cost(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.maximum(wxx[j] - wxx[i] - (wx[j] - wx[i]) ** 2 / (w[j] - w[i]), 0)
 
-    best = np.array([math.inf, *(cost(np.array([0]), j)[0] for j in range(1, n + 1))])
+    best = np.concatenate([[np.inf], cost(np.zeros(n, np.int64), np.arange(1, n + 1))])
     begins = []
     for c in range(2, k + 1):
-        now, begin = np.full(n + 1, math.inf), np.zeros(n + 1, np.int64)
-        work = [(c, n, c - 1, n - 1)]
-        while work:
-            lo, hi, first, last = work.pop()
-            if lo > hi:
-                continue
+        now, begin = np.full(n + 1, np.inf, np.longdouble), np.zeros(n + 1, np.int64)
+        # All halves of one depth at once: the ends lo..hi, and first..last where their classes may begin.
+        lo, hi, first, last = (np.array([v]) for v in (c, n, c - 1, n - 1))
+        while len(lo):
             j = (lo + hi) // 2
-            i = np.arange(first, min(last, j - 1) + 1)
-            total = best[i] + cost(i, j)
-            at = int(total.argmin())
-            now[j], begin[j] = total[at], i[at]
-            work += [(lo, j - 1, first, int(i[at])), (j + 1, hi, int(i[at]), last)]
+            size = np.minimum(last, j - 1) - first + 1
+            start = np.cumsum(size) - size
+            i = np.arange(size.sum()) + np.repeat(first - start, size)
+            total = best[i] + cost(i, np.repeat(j, size))
+            now[j] = np.minimum.reduceat(total, start)
+            least = np.flatnonzero(total == np.repeat(now[j], size))
+            begin[j] = at = i[least[np.searchsorted(least, start)]]
+            lo, hi, first, last = np.concatenate([lo, j + 1]), np.concatenate([j - 1, hi]), np.concatenate([first, at]), np.concatenate([at, last])
+            some = lo <= hi
+            lo, hi, first, last = lo[some], hi[some], first[some], last[some]
         best = now
         begins.append(begin)
     out, j = [], n
@@ -97,18 +104,11 @@ def natural_breaks(values: np.ndarray, weights: np.ndarray, k: int) -> list[floa
     return [float(values[0]), *reversed(out)]
 
 
-def jenks_fisher(df: DataFrame, x: str, k: int, nonzero: bool = False, bins: int = BINS) -> DataFrame:
+def jenks_fisher(df: DataFrame, x: str, k: int, nonzero: bool = False) -> DataFrame:
     rows = df.filter(F.col(x).isNotNull() & (F.col(x) != 0 if nonzero else F.lit(True)))
-    distinct = rows.select(x).distinct().count()
-    if distinct > bins:
-        lo, hi = _ends(rows, x)
-        rows = rows.withColumn("_b", F.floor((F.col(x) - lo) / (hi - lo) * (bins - 1)))
-        counted = rows.groupBy("_b").agg(F.min(x).alias("v"), F.count(F.lit(1)).alias("n"))
-    else:
-        counted = rows.groupBy(F.col(x).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    found = counted.orderBy("v").select("v", "n").collect()  # `bins` rows at most
-    if not found:
+    found = rows.groupBy(F.col(x).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("v")
+    if not len(found):
         return _frame(df, [None] * k)
-    breaks = natural_breaks(np.array([float(r[0]) for r in found]), np.array([float(r[1]) for r in found]), k - nonzero)
+    breaks = natural_breaks(found["v"].to_numpy(), found["n"].to_numpy(float), k - nonzero)
     breaks = ([0.0] if nonzero else []) + breaks
     return _frame(df, breaks + breaks[-1:] * (k - len(breaks)))

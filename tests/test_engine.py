@@ -147,6 +147,34 @@ def test_natural_breaks_are_the_best():
     assert br.natural_breaks(v, w, 3) == [v[0], best[1], best[2]]
 
 
+def test_natural_breaks_of_many_skewed_values(spark):
+    """Three groups beside a value far off, with more distinct values than any bins would hold: each is a class of its own."""
+    rng = np.random.default_rng(9)
+    groups = [np.unique(rng.uniform(a, a + 10, 2000)) for a in (0, 40, 100)]
+    for far in (1e7, -1e7):
+        values = [float(x) for x in np.concatenate([*groups, [far]])]
+        got = one(br.jenks_fisher(spark.createDataFrame([(v,) for v in values], "x double"), "x", 4), "bound")
+        assert got == sorted([far, *(float(g[0]) for g in groups)])
+
+
+def test_natural_breaks_over_all_values_are_the_best():
+    """Against the whole table of classes, without halving, over skewed values."""
+    rng = np.random.default_rng(10)
+    v, w = np.sort(rng.lognormal(0, 2, 300)), rng.integers(1, 5, 300).astype(float)
+    s = [np.concatenate([[0.0], np.cumsum(a)]) for a in (w, w * v, w * v * v)]
+    cost = np.array([[s[2][j] - s[2][i] - (s[1][j] - s[1][i]) ** 2 / (s[0][j] - s[0][i]) if i < j else np.inf for j in range(301)] for i in range(301)])
+    best, begins = cost[0], []
+    for _ in range(3):
+        table = best[:, None] + cost
+        begins.append(table.argmin(axis=0))
+        best = table.min(axis=0)
+    j, want = 300, []
+    for begin in reversed(begins):
+        j = begin[j]
+        want.insert(0, v[j])
+    assert br.natural_breaks(v, w, 4) == [v[0], *want]
+
+
 def test_grid_distance_and_districts(spark):
     n = 9
     rng = np.random.default_rng(3)
