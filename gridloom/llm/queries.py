@@ -65,7 +65,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All samples of each text, and a digest of what the last of them decodes to."""
+    """All samples of each text, each with a digest of what it decodes to; the last one's also beside them."""
     rows = sampled_segmentations(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "samples", F.size("samples").cast("long").alias("n_samples"), "decoded_sha256")
 

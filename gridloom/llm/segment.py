@@ -367,7 +367,7 @@ def _joined(vocab: Vocabulary, ids: np.ndarray) -> bytes:
     return vocab.data[at].tobytes()[1:]
 
 
-SAMPLE = pa.struct([("ids", pa.list_(pa.int32())), ("log_chance", pa.float64()), ("g", pa.float64()), ("inclusion", pa.float64())])
+SAMPLE = pa.struct([("ids", pa.list_(pa.int32())), ("log_chance", pa.float64()), ("g", pa.float64()), ("inclusion", pa.float64()), ("decoded_sha256", pa.string())])
 
 
 def _encode(k: int, seed: int, path: str, temper: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -377,7 +377,7 @@ def _encode(k: int, seed: int, path: str, temper: float) -> Callable[[Iterator[p
             keys = mix(batch.column("key").to_numpy().view(np.uint64) + np.uint64(seed))
             for lo, hi, data, offsets in pieces(batch.column("text"), 3 << 19):
                 texts = Texts(vocab, data, offsets, keys[lo:hi])
-                flat, bounds, logs, gs, inclusions, counts, digests = [], [0], [], [], [], [0], []
+                flat, bounds, logs, gs, inclusions, counts, digests, last = [], [0], [], [], [], [0], [], []
                 for found, threshold in texts.sampled(k):
                     for p in found:
                         flat.append(texts.ids(p))
@@ -385,20 +385,21 @@ def _encode(k: int, seed: int, path: str, temper: float) -> Callable[[Iterator[p
                         logs.append(p.log)
                         gs.append(p.g)
                         inclusions.append(1.0 if np.isneginf(threshold) else float(-np.expm1(-np.exp(min(p.log - threshold, 700)))))
+                        digests.append(hashlib.sha256(_joined(vocab, flat[-1])).hexdigest())
                     counts.append(counts[-1] + len(found))
-                    digests.append(hashlib.sha256(_joined(vocab, flat[-1])).hexdigest())
+                    last.append(digests[-1])
                 ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32()))
-                samples = pa.StructArray.from_arrays([ids, pa.array(logs, pa.float64()), pa.array(gs, pa.float64()), pa.array(inclusions, pa.float64())], fields=list(SAMPLE))
-                yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.ListArray.from_arrays(pa.array(counts, pa.int32()), samples), pa.array(digests, pa.string())], names=["id", "samples", "decoded_sha256"])
+                samples = pa.StructArray.from_arrays([ids, pa.array(logs, pa.float64()), pa.array(gs, pa.float64()), pa.array(inclusions, pa.float64()), pa.array(digests, pa.string())], fields=list(SAMPLE))
+                yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.ListArray.from_arrays(pa.array(counts, pa.int32()), samples), pa.array(last, pa.string())], names=["id", "samples", "decoded_sha256"])
                 del texts, flat, ids, samples
 
     return run
 
 
 def sampled_segmentations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, seed: int = SEED, model: str = MODEL, temper: float = TEMPER) -> DataFrame:
-    """One row for each row of df: id, samples (ids of pieces, log_chance, g, inclusion) by falling g, decoded_sha256.
+    """One row for each row of df: id, samples (ids of pieces, log_chance, g, inclusion, decoded_sha256) by falling g, decoded_sha256.
 
-    decoded_sha256 is the digest of the text that the last sample's pieces decode to.
+    A sample's decoded_sha256 is the digest of the text that its pieces decode to; the row's is the last sample's.
 
     Samples of a text differ; a text with fewer segmentations than asked for has them all, with
     inclusion 1. An empty or null text has one sample without pieces. The row key is the id; a null
@@ -409,7 +410,7 @@ def sampled_segmentations(df: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = dict(df.dtypes)[id_col]
     text = F.replace(text_of(text_col), F.lit(MARK.decode()), F.lit(" "))
     rows = df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col)).alias("key"))
-    schema = f"id {kind}, samples array<struct<ids:array<int>,log_chance:double,g:double,inclusion:double>>, decoded_sha256 string"
+    schema = f"id {kind}, samples array<struct<ids:array<int>,log_chance:double,g:double,inclusion:double,decoded_sha256:string>>, decoded_sha256 string"
     return rows.mapInArrow(_encode(samples, seed, model, temper), schema).withColumnRenamed("id", id_col)
 
 

@@ -326,6 +326,12 @@ def test_segmentations_round_trip_and_differ(docs, plain):
     assert back.first().text is None
 
 
+def test_every_sample_is_decoded(spark, docs, plain):
+    for r in corpus_pipeline.pieces(spark, docs, "").collect():
+        assert r.n_samples == len(r.samples) > 0
+        assert {s.decoded_sha256 for s in r.samples} == {hashlib.sha256(plain[r.doc_id].encode()).hexdigest()}
+
+
 def test_sampling_has_the_right_chances():
     vocab, n = segment.vocabulary(segment.MODEL, 1.0), 4000
     raw = b" then"
