@@ -6,21 +6,81 @@ column of it; a relation is a column that holds another domain's `_id`.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+import uuid
+import weakref
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ID = "_id"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it back; a folder is made only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the session's spark.checkpoint.dir, or what was set on its context.
+
+    A local session without either gets a temporary one, as in tests; a cluster's executors would
+    not see it, so there it is an error.
+    """
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
-    return df.checkpoint(eager=True)
+        if at := spark.conf.get("spark.checkpoint.dir", None):
+            context.setCheckpointDir(at)
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+        else:
+            raise RuntimeError("spark.checkpoint.dir is not set: it names a folder that the driver and all executors share")
+    return context.getCheckpointDir()
+
+
+def _path(spark: SparkSession, folder: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+#: The folder of each table that cut wrote.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage.
+
+    What is read back has its real size, so plans over it can be sized; a checkpoint would keep the
+    estimate of the plan that it cut, which grows with every join of a loop. The tables `done`,
+    which came from here and are read no more, are removed; the rest goes when the session ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path, files = _path(spark, folder)
+    files.deleteOnExit(path)
+    df.write.parquet(folder)
+    discard(*done)
+    out = spark.read.schema(df.schema).parquet(folder)
+    _FOLDERS[out] = folder
+    return out
+
+
+def discard(*done: DataFrame) -> None:
+    """Removes tables that cut wrote, once nothing reads them any more."""
+    for df in done:
+        if folder := _FOLDERS.pop(df, None):
+            path, files = _path(df.sparkSession, folder)
+            files.delete(path, True)
+
+
+def swept(df: DataFrame) -> DataFrame:
+    """df, behind whose cut nothing of the shuffles is left: their files go once the driver's garbage is collected, which else happens by chance."""
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
+def offsets(rows: DataFrame, part: Column) -> DataFrame:
+    """(_part, _offset): the number of rows in the parts before each. One row a partition, on the driver and in a broadcast."""
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+    before = itertools.accumulate([0, *(r["n"] for r in sizes)])
+    return rows.sparkSession.createDataFrame([(int(r["_part"]), n) for r, n in zip(sizes, before, strict=False)], "_part long, _offset long")
 
 
 def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = ID) -> DataFrame:
@@ -31,14 +91,9 @@ def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = ID) -
     """
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     rows = cut(rows)
-    part = F.shiftright("_at", 33)
-    sizes = {r[0]: r[1] for r in rows.groupBy(part.alias("p")).count().collect()}
-    offset, cases = 0, F.lit(0).cast("bigint")
-    for p in sorted(sizes):
-        if offset:
-            cases = F.when(part == p, F.lit(offset).cast("bigint")).otherwise(cases)
-        offset += sizes[p]
-    return rows.withColumn(name, cases + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+    part = F.shiftright("_at", 33).cast("long")
+    out = rows.withColumn("_part", part).join(F.broadcast(offsets(rows, part)), "_part")
+    return out.withColumn(name, F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_offset")
 
 
 def renumbered(df: DataFrame, keep: str | None = None) -> DataFrame:

@@ -6,13 +6,14 @@ group sums to zero, counts zero, has any false and all true; other results are u
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import ID, dense
+from ..core import ID, cut, dense
 
 #: name: aggregate of a column, and what an empty group has.
 SIMPLE: dict[str, tuple[Callable[[Column], Column], object]] = {
@@ -117,15 +118,14 @@ def cumulate(df: DataFrame, x: str, rel: str | None = None, name: str = "cumulat
     """
     if rel:
         return df.withColumn(name, F.sum(F.coalesce(F.col(x), F.lit(0))).over(Window.partitionBy(rel).orderBy(ID).rowsBetween(Window.unboundedPreceding, 0)))
-    from ..core import cut
-
     parts = cut(df.repartitionByRange(ID).withColumn("_p", F.spark_partition_id()))
-    before, start = 0, F.lit(0)
-    for p, s in sorted(tuple(r) for r in parts.groupBy("_p").agg(F.coalesce(F.sum(x), F.lit(0))).collect()):  # one row a partition
-        start = F.when(F.col("_p") == p, F.lit(before)).otherwise(start)
-        before += s
+    sums = parts.groupBy("_p").agg(F.coalesce(F.sum(x), F.lit(0)).alias("s")).orderBy("_p").collect()  # one row a partition
+    before = itertools.accumulate([0, *(r["s"] for r in sums)])
+    kind = parts.agg(F.sum(x)).schema[0].dataType.simpleString()
+    starts = df.sparkSession.createDataFrame([(r["_p"], type(r["s"])(b)) for r, b in zip(sums, before, strict=False)], f"_p int, _start {kind}")
     w = Window.partitionBy("_p").orderBy(ID).rowsBetween(Window.unboundedPreceding, 0)
-    return parts.withColumn(name, F.sum(F.coalesce(F.col(x), F.lit(0))).over(w) + start).drop("_p")
+    running = F.sum(F.coalesce(F.col(x), F.lit(0))).over(w) + F.col("_start")
+    return parts.join(F.broadcast(starts), "_p").withColumn(name, running).drop("_p", "_start")
 
 
 def reg_count(df: DataFrame, kind: str, rel: str, kinds: list) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import ID, dense, with_ordinal
+from ..core import ID, cut, dense, with_ordinal
 
 
 def lookup(df: DataFrame, rel: str, domain: DataFrame, *attributes: str, prefix: str = "") -> DataFrame:
@@ -50,22 +50,15 @@ def classify_by(df: DataFrame, value: str, domain: DataFrame, bound: str, name:
     points = df.withColumn("_v", F.col(value).cast("double")).select("*", F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_class"))
     marks = domain.select(F.col(bound).cast("double").alias("_v"), F.lit(0).alias("_side"), F.col(ID).alias("_class"))
     both = points.unionByName(marks, allowMissingColumns=True).filter("_v IS NOT NULL")
-    placed = both.repartitionByRange("_v").withColumn("_p", F.spark_partition_id())
-    from ..core import cut
-
-    placed = cut(placed)
-    tops = placed.filter("_side = 0").groupBy("_p").agg(F.max_by("_class", F.struct("_v", "_class")).alias("top")).collect()  # one row a partition
-    carry, before = {}, None
-    tops = {r[0]: r[1] for r in tops}
-    for p in range(max(tops, default=-1) + 1):
-        carry[p] = before
-        before = tops.get(p, before)
-    last = before
-    start = F.lit(last).cast("bigint")
-    for p, c in carry.items():
-        start = F.when(F.col("_p") == p, F.lit(c).cast("bigint")).otherwise(start)
+    placed = cut(both.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
+    tops = {r[0]: r[1] for r in placed.groupBy("_p").agg(F.max_by("_class", F.when(F.col("_side") == 0, F.struct("_v", "_class"))).alias("top")).collect()}  # one row a partition
+    carry, before = [], None
+    for p in sorted(tops):
+        carry.append((p, before))
+        before = tops[p] if tops[p] is not None else before
+    starts = df.sparkSession.createDataFrame(carry, "_p int, _start bigint")
     w = Window.partitionBy("_p").orderBy("_v", "_side", "_class").rowsBetween(Window.unboundedPreceding, 0)
-    found = placed.withColumn(name, F.coalesce(F.last("_class", ignorenulls=True).over(w), start)).filter("_side = 1")
+    found = placed.join(F.broadcast(starts), "_p").withColumn(name, F.coalesce(F.last("_class", ignorenulls=True).over(w), "_start")).filter("_side = 1")
     undefined = df.filter(F.col(value).isNull()).withColumn(name, F.lit(None).cast("bigint"))
     return found.select(*df.columns, name).unionByName(undefined)
 
@@ -102,8 +95,6 @@ def nearest(a: DataFrame, ax: str, ay: str, b: DataFrame, bx: str, by: str, cell
         return left.select(ID, F.lit(None).cast("bigint").alias("nearest_rel"), F.lit(None).cast("double").alias("dist"))
     span = max(max(box[1], frame[1]) - min(box[0], frame[0]), max(box[3], frame[3]) - min(box[2], frame[2]))
     most, ring, done, open_ = math.ceil(span / cell) + 1, 1, None, left
-    from ..core import cut
-
     while True:
         r = min(ring, most)
         cells = F.explode(F.sequence(F.lit(-r), F.lit(r)))
@@ -118,7 +109,8 @@ def nearest(a: DataFrame, ax: str, ay: str, b: DataFrame, bx: str, by: str, cell
         final = got if r >= most else got.filter(F.col("dist") <= r * cell)
         done = final if done is None else done.unionByName(final)
         done = cut(done)
-        open_ = cut(open_.join(done, ID, "left_anti"))
+        rest = cut(open_.join(done, ID, "left_anti"), open_)
+        open_ = rest
         if r >= most or open_.isEmpty():
             break
         ring *= 4

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import ID, cut, with_ordinal
+from ..core import ID, cut, discard, with_ordinal
 
 
 def least_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -20,17 +20,18 @@ def least_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     the rounds grow with the logarithm of the diameter. Labels stay distributed.
     """
     both = cut(edges.select("f1", "f2").unionAll(edges.select(F.col("f2").alias("f1"), F.col("f1").alias("f2"))).filter("f1 != f2").distinct())
-    labels = cut(nodes.select(ID, F.col(ID).alias("least")))
+    last = labels = cut(nodes.select(ID, F.col(ID).alias("least")))
     while True:
         far = labels.select(F.col(ID).alias("f2"), F.col("least").alias("_far"))
         near = labels.select(F.col(ID).alias("f1"), F.col("least").alias("_near"))
         hooks = both.join(far, "f2").join(near, "f1").groupBy(F.col("_near").alias("least")).agg(F.min("_far").alias("_hook"))
         hooked = labels.join(hooks, "least", "left").select(ID, "least", F.least("least", F.coalesce("_hook", "least")).alias("_next"))
         jump = hooked.filter(F.col(ID) == F.col("least")).select(F.col("least").alias("_next"), F.col("_next").alias("_jump"))
-        new = cut(hooked.join(jump, "_next", "left").select(ID, F.col("least").alias("_old"), F.coalesce("_jump", "_next").alias("least")))
-        changed = new.filter(F.col("_old") != F.col("least")).isEmpty()
-        labels = new.select(ID, "least")
-        if changed:
+        new = cut(hooked.join(jump, "_next", "left").select(ID, F.col("least").alias("_old"), F.coalesce("_jump", "_next").alias("least")), last)
+        same = new.filter(F.col("_old") != F.col("least")).isEmpty()
+        last, labels = new, new.select(ID, "least")
+        if same:
+            discard(both)
             return labels
 
 
@@ -61,12 +62,12 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _spread(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    labels = cut(nodes.select(ID, F.col(ID).alias("least")))
+    last = labels = cut(nodes.select(ID, F.col(ID).alias("least")))
     while True:
         come = links.join(labels.select(F.col(ID).alias("f1"), "least"), "f1").groupBy(F.col("f2").alias(ID)).agg(F.min("least").alias("_n"))
-        new = cut(labels.join(come, ID, "left").select(ID, F.col("least").alias("_old"), F.least("least", F.coalesce("_n", "least")).alias("least")))
+        new = cut(labels.join(come, ID, "left").select(ID, F.col("least").alias("_old"), F.least("least", F.coalesce("_n", "least")).alias("least")), last)
         same = new.filter("_old != least").isEmpty()
-        labels = new.select(ID, "least")
+        last, labels = new, new.select(ID, "least")
         if same:
             return labels
 
@@ -79,12 +80,14 @@ def impedance_table(nodes: DataFrame, edges: DataFrame, starts: DataFrame, direc
     links = edges.select("f1", "f2", "impedance")
     links = cut(links if directed else links.unionAll(edges.select(F.col("f2").alias("f1"), F.col("f1").alias("f2"), "impedance")))
     state = cut(nodes.select(ID).join(starts.select(F.col(ID), F.lit(0.0).alias("impedance")).distinct(), ID, "left").withColumn("trace_back", F.lit(None).cast("bigint")))
+    last = state
     front = state.filter("impedance IS NOT NULL").select(F.col(ID).alias("f1"), F.col("impedance").alias("_d"))
     while not front.isEmpty():
         reach = links.join(front, "f1").select(F.col("f2").alias(ID), (F.col("_d") + F.col("impedance")).alias("_n"), "f1").filter(F.col("_n") <= limit)
         reach = reach.groupBy(ID).agg(F.min(F.struct("_n", "f1")).alias("m"))
         step = state.join(reach, ID, "left").withColumn("_better", F.coalesce(F.col("m._n") < F.coalesce("impedance", F.lit(float("inf"))), F.lit(False)))
-        step = cut(step.select(ID, F.when(F.col("_better"), F.col("m._n")).otherwise(F.col("impedance")).alias("impedance"), F.when(F.col("_better"), F.col("m.f1")).otherwise(F.col("trace_back")).alias("trace_back"), "_better"))
+        step = cut(step.select(ID, F.when(F.col("_better"), F.col("m._n")).otherwise(F.col("impedance")).alias("impedance"), F.when(F.col("_better"), F.col("m.f1")).otherwise(F.col("trace_back")).alias("trace_back"), "_better"), last)
+        last = step
         front = step.filter("_better").select(F.col(ID).alias("f1"), F.col("impedance").alias("_d"))
         state = step.drop("_better")
     return state

@@ -139,17 +139,10 @@ def join_near_values(spark, sf):
     return lo.join_near_values(p, "x", "y", p, "x", "y", 1.0)
 
 
-@query("""WITH p AS (SELECT p_partkey AS i, CAST(p_size AS DOUBLE) AS x, p_retailprice / 10 AS y FROM part WHERE p_partkey < 400),
+@query("""WITH p AS (SELECT p_partkey AS i, CAST(p_size AS DOUBLE) AS x, p_retailprice / 10 AS y FROM part),
 d AS (SELECT a.i, b.i AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.i <> b.i)
 SELECT i AS _id, min(j) AS nearest_rel, round(min(d), 6) AS dist FROM (SELECT *, min(d) OVER (PARTITION BY i) AS m FROM d) WHERE d = m GROUP BY i""")
 def connect_neighbour(spark, sf):
-    p = domain(spark, sf, "part").filter(F.col(ID) < 400).select(ID, F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 10).alias("y"))
-    return rounded(lo.nearest(p, "x", "y", p, "x", "y", 5.0, same=True).select(ID, "nearest_rel", "dist"))
-
-
-@query()
-def connect_neighbour_all(spark, sf):
-    """Of every part the nearest other one. connect_neighbour has the parts of its SQL alone, whose self-join is of all pairs."""
     p = domain(spark, sf, "part").select(ID, F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 10).alias("y"))
     cell = 100.0 / max(p.count(), 1) ** 0.5  # a point or so a cell
     return rounded(lo.nearest(p, "x", "y", p, "x", "y", cell, same=True).select(ID, "nearest_rel", "dist"))
