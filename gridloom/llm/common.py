@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import cut, discard, shared_folder, swept
+
+__all__ = ["cut", "discard", "shared_folder", "swept"]
+
 # The white space of the contracts, as Java and RE2 classes.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,17 +40,6 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the folder the cluster shares and reads it back, which also cuts its lineage.
-
-    The folder is the session's spark.checkpoint.dir; one is made only where it is unset, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that clash with no column of df."""
     taken, out = {c.lower() for c in df.columns}, []

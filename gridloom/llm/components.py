@@ -29,9 +29,10 @@ def components(edges: DataFrame) -> DataFrame:
     Only nodes of a link between different nodes have a row; links with a null are no links.
     """
     edges = edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    seen = None
+    seen, last = None, ()
     while True:
-        edges = cut(edges)
+        edges = cut(edges, *last)
+        last = (edges,)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen or not now[0]:
             break
