@@ -7,32 +7,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import ID, cut, discard, with_ordinal
+from ..core import ID, cut, with_ordinal
+
+
+#: Links that a task contracts at once.
+CHUNK = 1 << 20
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk's links as stars around the least node of every part that the chunk connects."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v"))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        label, (x, y) = np.arange(len(nodes)), at.reshape(2, -1)
+        while True:
+            low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+            if (low == high).all():
+                break
+            np.minimum.at(label, high, low)
+            while (label[label] != label).any():
+                label = label[label]
+        leaf = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[label[leaf]])], names=["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK:
+            yield stars(held)
+            held = []
+    if held:
+        yield stars(held)
+
+
+def _alternated(edges: DataFrame) -> DataFrame:
+    """edges: u > v. Links each node's larger neighbours to its least one, then the least with the rest."""
+    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    rest = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return rest.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: u, v (long, any order, repeats and loops allowed). Rows (id, component), component being the least id that id reaches.
+
+    Each round contracts the links that a task holds and then takes one large-star and one small-star
+    step. Links stay distributed; the driver sees two numbers a round, by which it tells that nothing
+    changed, and a lost executor costs one round at most. Only nodes of a link between different
+    nodes have a row; links with a null are no links.
+    """
+    edges = cut(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct())
+    seen = None
+    while True:
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == seen or not now[0]:
+            break
+        seen, edges = now, cut(_alternated(edges.mapInArrow(_contracted, "u long, v long")), edges)
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 def least_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(_id, least): the least node each node is connected with, by hooking and pointer jumping.
-
-    Each round a component hooks to the least label among its neighbours and paths are halved, so
-    the rounds grow with the logarithm of the diameter. Labels stay distributed.
-    """
-    both = cut(edges.select("f1", "f2").unionAll(edges.select(F.col("f2").alias("f1"), F.col("f1").alias("f2"))).filter("f1 != f2").distinct())
-    last = labels = cut(nodes.select(ID, F.col(ID).alias("least")))
-    while True:
-        far = labels.select(F.col(ID).alias("f2"), F.col("least").alias("_far"))
-        near = labels.select(F.col(ID).alias("f1"), F.col("least").alias("_near"))
-        hooks = both.join(far, "f2").join(near, "f1").groupBy(F.col("_near").alias("least")).agg(F.min("_far").alias("_hook"))
-        hooked = labels.join(hooks, "least", "left").select(ID, "least", F.least("least", F.coalesce("_hook", "least")).alias("_next"))
-        jump = hooked.filter(F.col(ID) == F.col("least")).select(F.col("least").alias("_next"), F.col("_next").alias("_jump"))
-        new = cut(hooked.join(jump, "_next", "left").select(ID, F.col("least").alias("_old"), F.coalesce("_jump", "_next").alias("least")), last)
-        same = new.filter(F.col("_old") != F.col("least")).isEmpty()
-        last, labels = new, new.select(ID, "least")
-        if same:
-            discard(both)
-            return labels
+    """(_id, least): the least node each node is connected with."""
+    found = components(edges.select(F.col("f1").alias("u"), F.col("f2").alias("v")))
+    return nodes.select(ID).join(found.withColumnRenamed("id", ID), ID, "left").select(ID, F.coalesce("component", ID).alias("least"))
 
 
 def connected_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
