@@ -1,7 +1,7 @@
 """Near-duplicates by one-permutation MinHash, optimal densification, banded buckets and star-shaped candidates.
 
 1. Each text becomes its set of shingle hashes. Equal sets are one class from here on, found by
-   grouping set fingerprints; a class is represented by its least id.
+   grouping set fingerprints, and has a number.
 2. A set's hashes fall into BINS bins by their leading bits; the least of each bin is its MinHash.
    An empty bin borrows from the first filled one along a fixed permutation of its own, the same
    for all sets (optimal densification). Bins make bands, and bands make buckets. A band has as
@@ -13,8 +13,9 @@
 5. What a star can miss are links between members of a bucket which are in different components
    by now. The members of buckets that still hold several meet in blocks, first by their sketches
    alone, which tells the members that have anything close in another component; then those meet
-   with their texts, and a block sends out only links that join two components it had apart. So
-   no link is lost, and no bucket emits its pairs.
+   with their texts, and a block sends out only links that join two components it had apart. The
+   blocks of the centre's own component don't meet one another. So no link is lost, and no bucket
+   emits its pairs.
 
 A sketch is one byte a bin. Pairs of similarity 0.85 agree in 204 of 240 bins, give or take 6;
 those with fewer agreements than SPREADS standard deviations below that are not compared: under
@@ -29,11 +30,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
-from .components import components
+from ..operators.network import components
+from .common import cut, discard, fresh, swept, text_of
 from .tokens import mix, pieces, shingle_sets
 
 BINS = 240
@@ -42,8 +43,11 @@ MISSED, SPREADS = 1e-8, 6.5
 LEAST = 50
 PERCENT = 85
 WIDTH = 3
-BLOCK = 2048
+#: Members of a block, and shingles of their sets, on average.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 PER_CENTRE = 256
+#: A row's id, and what tells it from others of that id: two hashes of id and text, 96 bits.
+ROW = ("id", "doc", "doc2")
 
 
 def _rows(percent: int) -> int:
@@ -97,8 +101,8 @@ def _signed(width: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     bands.append(band.view(np.int64))
                     sketches.append((own >> np.uint64(13)).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id")[lo:hi], pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    names=["id", "n", "f1", "f2", "bands", "sketch"],
+                    [*(batch.column(c)[lo:hi] for c in ROW), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    names=[*ROW, "n", "f1", "f2", "bands", "sketch"],
                 )
 
     return run
@@ -233,23 +237,49 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: i
     return rows.select("centre", "part", "id", "text").mapInArrow(_confirm(width, percent), "u long, v long")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row an id: id, n_shingles, component_id, kept, class_id (least id with the same set).
+def _texts(rows: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, text of the classes in nodes (id): whole texts move once, by their row's hashes."""
+    wanted = classes.join(nodes.distinct(), "id", "left_semi").select("id", "doc", "doc2")
+    return rows.select("doc", "doc2", "text").join(wanted, ["doc", "doc2"]).select("id", "text")
 
-    Texts are lower-cased (A-Z) and cut into words at ASCII white space; a text of fewer words than
-    `width` is one shingle; a text without words, or null, links with nothing. Ids are whole
-    numbers and name the texts: rows that repeat an id and a text come out once, and an id has no
-    second text. percent is LEAST to 100. Rows with a null id are nobody's and left out. An empty table gives an empty
-    result. Other columns are not read.
+
+def _apart(shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The members of buckets that still hold several components: key, p, q, id, label, block.
+
+    The component of a bucket's centre, which nearly all members of a large bucket are in by now, is
+    dealt to blocks of its own, and no two of these meet: a member of it is copied once for each
+    block of the others, and only the others meet all.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).filter("id IS NOT NULL")
-    signed = cut(rows.mapInArrow(_signed(width, _rows(percent)), "id long, n long, f1 long, f2 long, bands array<long>, sketch binary"))
-    classes = signed.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("class"))
-    owners = signed.join(classes, (signed["id"] == classes["class"]) & (signed["n"] == classes["n"]) & (signed["f1"] == classes["f1"]) & (signed["f2"] == classes["f2"]), "left_semi").dropDuplicates(["id"])
-    sketches = owners.select("id", "n", "sketch")
-    buckets = owners.select("id", "n", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("key"))
+    labelled = shared.join(labels, "id", "left").select("key", "id", "centre", F.coalesce("component", "id").alias("label"))
+    spread = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max(F.when(F.col("id") == F.col("centre"), F.col("label"))).alias("main"))
+    still = labelled.join(spread.filter("least < most").select("key", "main"), "key").join(sizes, "id")
+    still = cut(still.select("key", "id", "n", "label", (F.col("label") == F.col("main")).alias("own")))
+
+    def blocks(which: Column) -> Column:
+        return F.ceil(F.greatest(F.count(F.when(which, 1)) / BLOCK, F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+
+    dealt = still.groupBy("key").agg(blocks(F.col("own")).alias("owns"), blocks(~F.col("own")).alias("others"))
+    place = F.pmod(F.xxhash64("id"), F.when(F.col("own"), F.col("owns")).otherwise(F.col("others"))).cast("int")
+    block = F.when(F.col("own"), F.col("others") + place).otherwise(place)
+    last = F.when(F.col("own"), F.col("others")).otherwise(F.col("others") + F.col("owns")) - 1
+    met = F.transform(F.sequence(F.lit(0), F.col("last")), lambda other: F.struct(F.least("block", other).alias("p"), F.greatest("block", other).alias("q")))
+    out = still.join(dealt, "key").select("key", "id", "label", block.alias("block"), last.alias("last")).withColumn("pair", F.explode(met))
+    return out.select("key", "pair.p", "pair.q", "id", "label", "block")
+
+
+def _members(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """A row for each row of df: id, doc, doc2, n, f1, f2, node (null for an empty set), class_id, part (the component's node), component_id."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    rows = rows.select("id", F.xxhash64("id", "text").alias("doc"), F.hash("text", "id").alias("doc2"), "text")
+    signed = cut(rows.mapInArrow(_signed(width, _rows(percent)), "id long, doc long, doc2 int, n long, f1 long, f2 long, bands array<long>, sketch binary"))
+    # Rows of equal sets are merged before they move, however many there are; classes are numbered once they are written.
+    owner = F.struct("doc", "doc2", "bands", "sketch")
+    classes = signed.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("class_id"), F.min(owner).alias("o"))
+    classes = swept(cut(classes.select(F.monotonically_increasing_id().alias("id"), "n", "f1", "f2", "class_id", "o.*")))
+    sketches = classes.select("id", "n", "sketch")
+    buckets = classes.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("key"))
     centres = buckets.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = cut(buckets.join(centres, "key").select("key", "id", "centre", "members"))
+    shared = swept(cut(buckets.join(centres, "key").select("key", "id", "centre")))
 
     def sketched(pairs: DataFrame) -> DataFrame:
         a, b = (sketches.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{name}"), F.col("n").alias(f"n_{name}")) for side, name in (("u", "a"), ("v", "b")))
@@ -257,32 +287,57 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         return sized.select("u", "v", "sketch_a", "sketch_b").mapInArrow(_close(_least_agreed(percent)), "u long, v long")
 
     stars = sketched(shared.filter("id != centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct())
-    stars = stars.groupBy("u").agg(F.min("v").alias("v"))
-    links = cut(confirmed(stars, rows, width, percent))
-    labels = components(links)
-
-    labelled = shared.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    spread = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("m"))
-    spread = spread.filter("least < most").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    still = cut(labelled.join(spread, "key"))
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("p"), F.greatest("block", other).alias("q")))
-    mine = still.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("pair", F.explode(met))
-    mine = mine.select("key", "pair.p", "pair.q", "id", "label", "block").join(sketches, "id").select("key", "p", "q", "id", "label", "n", "block", "sketch")
+    stars = swept(cut(stars.groupBy("u").agg(F.min("v").alias("v"))))
+    ends = stars.select(F.col("u").alias("id")).unionAll(stars.select(F.col("v").alias("id")))
+    links = swept(cut(confirmed(stars, _texts(rows, ends, classes), width, percent)))
+
+    mine = _apart(shared, components(links), classes.select("id", "n")).join(sketches, "id").select("key", "p", "q", "id", "label", "n", "block", "sketch")
 
     def gathered(members: DataFrame) -> DataFrame:
         return members.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
 
-    near = cut(gathered(mine).mapInArrow(_blocks(percent, None), "key long, p int, q int, id long"))
-    rest = gathered(mine.join(near, ["key", "p", "q", "id"], "left_semi").join(rows, "id")).mapInArrow(_blocks(percent, width), "u long, v long")
+    near = swept(cut(gathered(mine).mapInArrow(_blocks(percent, None), "key long, p int, q int, id long"), stars))
+    close = mine.join(near, ["key", "p", "q", "id"], "left_semi").join(_texts(rows, near.select("id"), classes), "id")
+    rest = swept(cut(gathered(close).mapInArrow(_blocks(percent, width), "u long, v long")))
     final = components(links.unionAll(rest))
+    discard(links, rest, near, shared)
+
+    named = classes.join(final, "id", "left").select("n", "f1", "f2", "class_id", F.coalesce("component", "id").alias("part"))
+    least = named.groupBy("part").agg(F.min("class_id").alias("component_id"))
+    named = cut(named.join(least, "part"))
+    return signed.select(*ROW, "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
+
 
-    member = signed.groupBy("id", "n", "f1", "f2").agg(F.count(F.lit(1)).alias("copies")).join(classes, ["n", "f1", "f2"], "left")
-    out = member.select("id", "n", F.coalesce("class", "id").alias("class")).join(final.select(F.col("id").alias("class"), "component"), "class", "left")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"), F.col("class").alias("class_id"))
-    return out.select(id_col, "n_shingles", "component_id", (F.col(id_col) == F.col("component_id")).alias("kept"), "class_id")
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row for each row of df: id, n_shingles, component_id, kept, class_id (least id with the same set).
+
+    Texts are lower-cased (A-Z) and cut into words at ASCII white space; a text of fewer words than
+    `width` is one shingle; a text without words, or null, links with nothing. Ids are whole
+    numbers: rows that repeat an id are documents of their own, linked by their texts and told apart
+    by nothing else; all rows of a component's least id are kept. A null id is never the least but
+    where a component has no other, whose rows are all kept. percent is LEAST to 100. An empty table
+    gives an empty result. Other columns are not read.
+
+    Shingles are compared by hashes of 64 bits: two of n different ones in the table share theirs
+    with a chance of n * n / 2 ** 65, which changes a similarity by one shingle.
+    """
+    out = _members(df, id_col, text_col, width, percent)
+    some = F.col("n") > 0
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.when(some, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
+    return out.select(id_col, "n_shingles", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of df which their component keeps, with all of their columns."""
-    kept = near_dedup(df, id_col, text_col, width, percent).filter("kept").select(id_col)
-    return df.join(kept, id_col, "left_semi")
+    """One document of each component of df, with all of its columns.
+
+    It is the one of the least id, null last; where several texts of that id are in the component,
+    the one of the least hash. Rows that repeat an id and its text are one document and stay
+    together. Texts without words all stay. An empty table gives an empty result.
+    """
+    members = _members(df, id_col, text_col, width, percent)
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), *ROW)).alias("m")
+    kept = members.filter("n > 0").groupBy("part").agg(first).select("m.doc", "m.doc2").unionAll(members.filter("n = 0").select("doc", "doc2"))
+    doc, doc2 = fresh(df, "doc", "doc2")
+    key = F.col(f"`{id_col}`").cast("long"), text_of(F.col(f"`{text_col}`"))
+    rows = df.withColumns({doc: F.xxhash64(*key), doc2: F.hash(*key[::-1])})
+    return rows.join(kept.select(F.col("doc").alias(doc), F.col("doc2").alias(doc2)), [doc, doc2], "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

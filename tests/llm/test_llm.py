@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import chat, elias_fano, licences, lm, mixing, near_dedup, quality, segment, substrings
-from gridloom.llm.components import components
 from gridloom.llm.exact_dedup import exact_dedup, keep_first
 from gridloom.llm.secrets import secrets
+from gridloom.operators.network import components
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -106,6 +106,37 @@ def test_near_dedup_finds_links_that_stars_miss(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(df).collect()} == root
 
 
+def test_near_dedup_null_and_repeated_ids(spark):
+    """A row for each row: null ids are never the least of others, an id may have two texts."""
+    one, two, alone = prose(100, 41), prose(100, 42), prose(100, 43)
+    rows = [(None, one), (5, one), (5, one), (2, one + " end"), (2, two), (7, two + " end"), (None, alone), (None, None), (9, " "), (None, two)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, component_id string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup.near_dedup(df).collect())
+    assert got == sorted([(0, 2, False), (5, 2, False), (5, 2, False), (2, 2, True), (2, 2, True), (7, 2, False), (0, 0, True), (0, 0, True), (9, 9, True), (0, 2, False)])
+    kept = near_dedup.keep_one(df).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(2, one + " end"), (2, two), (0, alone), (0, ""), (9, " ")])
+    assert set(kept[0].asDict()) == {"doc_id", "text", "component_id"}
+
+
+def test_near_dedup_blocks_of_the_centre(spark, monkeypatch):
+    """Two large families share buckets; members of the centre's family are not dealt to meet one another."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    words, rng, texts = prose(120, 51).split(), np.random.default_rng(6), []
+    for change in (0, 14):
+        family = [f"{w}q" if i < change else w for i, w in enumerate(words)]
+        for _ in range(20):
+            texts.append(" ".join(f"{w}z" if i == at else w for at in [int(rng.integers(20, 120))] for i, w in enumerate(family)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if 100 * len(a & b) >= 85 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(df).collect()} == root
+
+
 def test_near_dedup_at_other_similarities(spark):
     assert (near_dedup._rows(85), near_dedup._least_agreed(85)) == (6, 168)
     words, rng = prose(200, 21).split(), np.random.default_rng(4)
