@@ -3,14 +3,18 @@
 A suffix array over all texts doesn't fit a machine, so texts are first split into independent
 problems that keep every repeat together:
 
-1. Each window of `length` bytes has an anchor: of the GRAM-byte strings inside it, the leftmost
-   of the least hash. Equal windows have equal anchors at equal places. Neighbouring windows share
-   theirs, so a text falls into runs of windows, one for about every (length - GRAM) / 2 bytes.
+1. Each window of the shorter length asked for (`passage` bytes) has an anchor: of the GRAM-byte
+   strings inside it, the leftmost of the least hash. Equal windows have equal anchors at equal
+   places. Neighbouring windows share theirs, so a text falls into runs of windows, one for about
+   every (passage - GRAM) / 2 bytes.
 2. Runs whose anchor occurs once repeat nothing and go. Runs whose whole context (from the first
-   byte of the first window to the last byte of the last) is the same are counted, not compared.
-3. Different contexts of one anchor meet. Their suffixes are sorted to a depth of `length`; the
-   previous and next smaller text positions in that order give each window's longest earlier
-   factor, its neighbours in the order the longest factor anywhere.
+   byte of the first window to `length` bytes after the beginning of the last) is the same are
+   counted, not compared.
+3. Different contexts of one anchor meet. Their suffixes are sorted to a depth of `length`. The
+   previous and next smaller text positions in that order give each window's longest previous
+   factor, and the same over mirrored positions its longest following one; what has either is
+   repeated. Windows next to one another in that order with a common prefix of `passage` bytes
+   are one passage, which is shared if it is in more than one text.
 4. An anchor with over CROWD different contexts would make one task large. Its windows are counted
    by a 128-bit hash of their bytes instead, which spreads them over all tasks.
 5. What repeats goes back to every occurrence of its context, and to the texts.
@@ -23,14 +27,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
-from .tokens import mix, pieces
+from .common import cut, swept, text_of
+from .tokens import STEP, mix, pieces
 
 LENGTH = 400
-GRAM = 100
+#: Shared passages: so many bytes at least, and over so many whole words.
+PASSAGE, WORDS = 240, 50
+GRAM = 50
 CROWD = 4096
 SEGMENT = (1 << 20) - 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -82,18 +88,21 @@ def _segments(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.n
         lo = hi - length + 1
 
 
-def _runs(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _runs(length: int, passage: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs of windows of `passage` bytes with the same anchor; contexts reach `length` bytes beyond the last window's beginning, in the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, width = _powers(BASES[0], SEGMENT + 1), length - GRAM + 1
+        gram = min(GRAM, passage)
+        powers, width = _powers(BASES[0], SEGMENT + length + 1), passage - gram + 1
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids, xs = batch.column("id").to_numpy(), batch.column("x").to_numpy()
             for first, last, data, offsets in pieces(batch.column("text")):
-                for lo, hi, valid in _segments(offsets, length):
+                for lo, hi, valid in _segments(offsets, passage):
                     if not valid.any():
                         continue
-                    rolling = _Rolling(data[lo:hi], powers)
-                    n = hi - lo - GRAM + 1
-                    grams = rolling.of(slice(0, n), slice(GRAM, n + GRAM), slice(0, n))
+                    rolling = _Rolling(data[lo : hi + length - passage], powers)
+                    n = hi - lo - gram + 1
+                    grams = rolling.of(slice(0, n), slice(gram, n + gram), slice(0, n))
                     at = _least((grams & ~np.uint64(SEGMENT)) | np.arange(n, dtype=np.uint64), width) & np.uint64(SEGMENT)
                     starts = np.flatnonzero(valid)
                     anchor = at[starts]
@@ -101,11 +110,12 @@ def _runs(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                     new[1:] = (starts[1:] != starts[:-1] + 1) | (anchor[1:] != anchor[:-1])
                     a = starts[new]
                     count = np.diff(np.append(np.flatnonzero(new), len(starts)))
-                    context = rolling.of(a, a + count - 1 + length, a) ^ mix(count.astype(np.uint64) + np.uint64(1))
                     row = np.searchsorted(offsets, a + lo, "right") - 1
+                    end = np.minimum(a + count - 1 + length, offsets[row + 1] - lo)
+                    context = rolling.of(a, end, a) ^ mix((end - a).astype(np.uint64) * STEP + count.astype(np.uint64))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[first:last][row], pa.int64()), pa.array(a + lo - offsets[row], pa.int64()), pa.array(count, pa.int32()), pa.array(grams[anchor[new].astype(np.int64)].view(np.int64)), pa.array(context.view(np.int64))],
-                        names=["id", "start", "n", "anchor", "context"],
+                        [pa.array(ids[first:last][row], pa.int64()), pa.array(xs[first:last][row], pa.int64()), pa.array(a + lo - offsets[row], pa.int64()), pa.array(count, pa.int32()), pa.array(grams[anchor[new].astype(np.int64)].view(np.int64)), pa.array(context.view(np.int64))],
+                        names=["id", "x", "start", "n", "anchor", "context"],
                     )
 
     return run
@@ -126,7 +136,8 @@ def _smaller(position: np.ndarray) -> np.ndarray:
 class Factors:
     """Suffix order of some contexts to a depth, and the longest factors that follow from it."""
 
-    def __init__(self, contexts: list[bytes], length: int):
+    def __init__(self, contexts: list[bytes], length: int, windows: list[int] | None = None):
+        """windows: of each context how many of its first places are asked for; else all with `length` bytes before its end."""
         self.length = length
         data = np.frombuffer(b"".join(contexts), np.uint8)
         n = len(data)
@@ -150,19 +161,21 @@ class Factors:
                 rank = np.unique(rank, return_inverse=True)[1] + 1
             depth += step
         # Windows in suffix order, ties by position.
-        starts = np.flatnonzero(np.arange(n) + length <= end)
-        self.starts = starts
+        windows = sizes - length + 1 if windows is None else np.array(windows)
+        starts = np.flatnonzero(np.arange(n) - np.repeat(ends - sizes, sizes) < np.repeat(windows, sizes))
+        self.ends = end
         order = np.argsort(rank[starts], kind="stable")
         self.position = starts[order]
         self.order = order
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of the windows at text positions a and b, length at most."""
-        out = np.where(self.levels[-1][1][a] == self.levels[-1][1][b], self.length, 0)
-        rest = np.flatnonzero(out == 0)
+        """Length of the common prefix of the suffixes at text positions a and b, length at most."""
+        out = np.where(self.levels[-1][1][a] == self.levels[-1][1][b], np.minimum(self.length, np.minimum(self.ends[a] - a, self.ends[b] - b)), -1)
+        rest = np.flatnonzero(out < 0)
         x, y, got = a[rest], b[rest], np.zeros(len(rest), np.int64)
         for depth, rank in reversed(self.levels[:-1]):
-            fits = (got + depth <= self.length) & (rank[x] == rank[y])
+            fits = (got + depth <= self.length) & (x + depth <= self.ends[a[rest]]) & (y + depth <= self.ends[b[rest]])
+            fits[fits] = rank[x[fits]] == rank[y[fits]]
             x, y, got = x + fits * depth, y + fits * depth, got + fits * depth
         out[rest] = got
         return out
@@ -172,24 +185,34 @@ class Factors:
         out[self.order] = values
         return out
 
-    def previous(self) -> np.ndarray:
-        """Of each window, in text order, the longest factor that begins earlier."""
-        before = _smaller(self.position)
-        after = len(self.position) - 1 - _smaller(self.position[::-1])[::-1]
-        out = np.zeros(len(self.position), np.int64)
-        for near in (before, np.where(after < len(self.position), after, -1)):
+    def _longest(self, position: np.ndarray) -> np.ndarray:
+        """Of each window, in suffix order, the longest common prefix with one of a smaller position: one of the two nearest in that order."""
+        before = _smaller(position)
+        after = len(position) - 1 - _smaller(position[::-1])[::-1]
+        out = np.zeros(len(position), np.int64)
+        for near in (before, np.where(after < len(position), after, -1)):
             has = near >= 0
             out[has] = np.maximum(out[has], self.common(self.position[has], self.position[near[has]]))
-        return self._at_starts(out)
+        return out
+
+    def previous(self) -> np.ndarray:
+        """Of each window, in text order, the longest factor that begins earlier."""
+        return self._at_starts(self._longest(self.position))
+
+    def following(self) -> np.ndarray:
+        """Of each window, in text order, the longest factor that begins later: the previous one of mirrored positions."""
+        return self._at_starts(self._longest(len(self.ends) - 1 - self.position))
 
-    def anywhere(self) -> np.ndarray:
-        """Of each window, in text order, the longest factor that begins elsewhere."""
-        out = np.zeros(len(self.position), np.int64)
-        if len(out) > 1:
-            lcp = self.common(self.position[:-1], self.position[1:])
-            out[:-1] = lcp
-            out[1:] = np.maximum(out[1:], lcp)
-        return self._at_starts(out)
+    def shared(self, least: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of each window, in text order, whether its first `least` bytes are in more than one text; lo and hi: of each window, in text order, the least and greatest text that has its context."""
+        n = len(self.position)
+        if not n:
+            return np.zeros(0, bool)
+        new = np.ones(n, bool)
+        new[1:] = self.common(self.position[:-1], self.position[1:]) < least
+        first = np.flatnonzero(new)
+        many = np.minimum.reduceat(lo[self.order], first) != np.maximum.reduceat(hi[self.order], first)
+        return self._at_starts(np.repeat(many, np.diff(np.append(first, n))))
 
 
 def _intervals(flags: np.ndarray) -> list[dict[str, int]]:
@@ -198,23 +221,30 @@ def _intervals(flags: np.ndarray) -> list[dict[str, int]]:
     return [{"lo": int(a), "hi": int(b)} for a, b in edge.reshape(-1, 2)]
 
 
-FOUND = "anchor long, context long, found array<struct<lo:int,hi:int>>"
+SPANS = "array<struct<lo:int,hi:int>>"
+FOUND = f"anchor long, context long, found {SPANS}, shared {SPANS}"
+_SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
-def _compared(length: int, keep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _compared(length: int, passage: int, keep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come sorted by anchor, then by where their context first occurs."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        factors = Factors([r[2] for r in rows], length)
-        repeated = (factors.previous() if keep == "first" else factors.anywhere()) >= length
-        cuts = np.cumsum([len(r[2]) - length + 1 for r in rows])[:-1]
-        found = [_intervals(x) for x in np.split(repeated, cuts)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(found, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], names=["anchor", "context", "found"])
+        # A context reaches beyond its run, whose windows alone are asked for; the others belong to other runs.
+        windows = [r[5] for r in rows]
+        factors = Factors([r[2] for r in rows], length, windows)
+        longest = factors.previous() if keep == "first" else np.maximum(factors.previous(), factors.following())
+        shared = factors.shared(passage, *(np.repeat(np.array([r[k] for r in rows], np.int64), windows) for k in (3, 4)))
+        cuts = np.cumsum(windows)[:-1]
+        found, both = ([_intervals(x) for x in np.split(flags, cuts)] for flags in (longest >= length, shared))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(found, _SPANS), pa.array(both, _SPANS)], names=["anchor", "context", "found", "shared"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for row in zip(batch.column("anchor").to_pylist(), batch.column("context").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "bytes", "lo", "hi", "n")), strict=True):
+                if held and row[:2] == held[-1][:2]:
+                    continue  # a row that repeats an id and its text
                 if size > BATCH and row[0] != held[-1][0]:
                     yield solve(held)
                     held, size = [], 0
@@ -226,8 +256,17 @@ def _compared(length: int, keep: str) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
+WANTED = "anchor long, context long, crowd boolean, id long, x long, start long, n int, lo long, hi long, bytes binary"
+
+
 def _cut_out(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The bytes of each wanted run of a text."""
+    """The bytes of each wanted context of a text."""
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    names = [x.split()[0] for x in WANTED.split(", ")]
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,108 +274,144 @@ def _cut_out(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             for text, wanted in zip(batch.column("text").cast(pa.large_binary()), batch.column("wanted").to_pylist(), strict=True):
                 text = text.as_py()
                 for w in wanted:
-                    out.append((w["anchor"], w["context"], w["crowd"], w["id"], w["start"], text[w["start"] : w["start"] + w["n"] - 1 + length]))
+                    out.append((*(w[c] for c in names[:-1]), text[w["start"] : w["start"] + w["n"] - 1 + length]))
                     size += len(out[-1][-1])
                 if size > 1 << 23:
-                    yield _rows(out)
+                    yield rows(out)
                     out, size = [], 0
-            yield _rows(out)
+            yield rows(out)
 
     return run
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-    columns = zip(*rows, strict=True) if rows else [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["anchor", "context", "crowd", "id", "start", "bytes"])
-
-
 def _hashed(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each window of a context: its place in the context and two hashes."""
+    """Each window of `length` bytes of a run, as far as its context reaches: its place in the run and two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = [_powers(b, SEGMENT + 1) for b in BASES]
+        powers = [_powers(b, SEGMENT + length + 1) for b in BASES]
         for batch in batches:
             out = [[], [], [], []]
-            for k, raw in enumerate(batch.column("bytes").to_pylist()):
+            for k, (raw, windows) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("n").to_pylist(), strict=True)):
                 data = np.frombuffer(raw, np.uint8)
-                n = len(data) - length + 1
+                n = max(0, min(windows, len(data) - length + 1))
                 hashes = [_Rolling(data, p).of(slice(0, n), slice(length, n + length), slice(0, n)).view(np.int64) for p in powers]
                 for column, values in zip(out, (np.full(n, k), np.arange(n), *hashes), strict=True):
                     column.append(values)
             k, place, one, two = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-            rest = [batch.column(c).take(pa.array(k)) for c in ("anchor", "context", "id", "start")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(place, pa.int32()), pa.array(one), pa.array(two)], names=["anchor", "context", "id", "start", "place", "one", "two"])
+            rest = [batch.column(c).take(pa.array(k)) for c in ("anchor", "context", "id", "x", "start", "lo", "hi")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(place, pa.int32()), pa.array(one), pa.array(two)], names=["anchor", "context", "id", "x", "start", "lo", "hi", "place", "one", "two"])
 
     return run
 
 
-def _result(length: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _merged(places: list[dict], width: int, end: int) -> list[list[int]]:
+    """Windows lo..hi as spans of bytes, those that touch as one; what would reach beyond the end isn't a window."""
+    spans: list[list[int]] = []
+    for lo, hi in sorted((p["lo"], min(p["hi"], end - width + 1)) for p in places):
+        if hi <= lo:
+            continue
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], hi + width - 1)
+        else:
+            spans.append([lo, hi + width - 1])
+    return spans
+
+
+def _whole_words(text: bytes, lo: int, hi: int) -> int:
+    """Words that lie in text[lo:hi] as a whole."""
+    part = text[lo:hi]
+    cut_first = lo > 0 and not text[lo - 1 : lo].isspace() and not part[:1].isspace()
+    cut_last = hi < len(text) and not text[hi : hi + 1].isspace() and not part[-1:].isspace()
+    return max(0, len(part.split()) - cut_first - cut_last)
+
+
+def _result(length: int, passage: int, words: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans_of = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), spans_of, spans_of, pa.binary())
         for batch in batches:
             out = []
-            for text, places in zip(batch.column("text").cast(pa.large_binary()), batch.column("found").to_pylist(), strict=True):
-                text, spans = text.as_py(), []
-                for lo, hi in sorted((p["lo"], p["hi"]) for p in places or ()):
-                    if spans and lo <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], hi + length - 1)
-                    else:
-                        spans.append([lo, hi + length - 1])
+            for text, places in zip(batch.column("text").cast(pa.large_binary()), batch.column("marks").to_pylist(), strict=True):
+                text = text.as_py()
+                spans, same = (_merged([p for p in places or () if p["passage"] == kind], width, len(text)) for kind, width in ((False, length), (True, passage)))
+                same = [x for x in same if _whole_words(text, *x) > words]
                 rest, at = [], 0
                 for lo, hi in spans:
                     rest.append(text[at:lo])
                     at = hi
                 rest = b"".join([*rest, text[at:]])
-                out.append((len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(rest).hexdigest(), [{"lo": a, "hi": b} for a, b in spans], rest if whole else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), pa.binary())
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)][: 6 if whole else 5]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "rest"][: 7 if whole else 6])
+                as_rows = [[{"lo": a, "hi": b} for a, b in x] for x in (spans, same)]
+                out.append((len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(rest).hexdigest(), len(same), *as_rows, rest if whole else None))
+            columns = list(zip(*out, strict=True)) if out else [()] * 8
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)][: 8 if whole else 7]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "removed", "passages", "rest"][: 9 if whole else 8])
 
     return run
 
 
-def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: str = "none", crowd: int = CROWD, rest: bool = False) -> DataFrame:
-    """One row for each row of df: id, n_bytes, n_removed, n_spans, kept_sha256, removed (spans of bytes).
+def repeated_substrings(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: str = "none", crowd: int = CROWD, rest: bool = False, passage: int = PASSAGE, words: int = WORDS
+) -> DataFrame:
+    """One row for each row of df: id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, removed, passages (spans of bytes).
 
     Removes each byte covered by a string of `length` bytes that also begins elsewhere, in the same
     text or another; matches never cross texts. keep="first" spares a string's first occurrence, by
-    id and place. rest=True adds the remaining bytes. A null text counts as empty. Ids are whole
-    numbers and name the texts: a null id is an id of its own, and rows that repeat an id are taken
-    for one text, which must be the same. An empty table gives an empty result. Other columns are
-    not read.
+    id (null first) and place. passages: the longest stretches that strings of `passage` bytes
+    (`length` at most) which another text has too cover, with over `words` whole words; they are
+    reported and stay. rest=True adds the remaining bytes. A null text counts as empty. Rows are
+    texts of their own, also those that repeat an id or have none; rows that repeat an id and its
+    text repeat all of it, but count as one text for passages and as one place for keep="first". An empty table gives an empty
+    result. Other columns are not read.
+
+    Contexts of one anchor count as equal by a hash of 64 bits: two of n different ones share it
+    with a chance of n * n / 2 ** 65. A row is found again by its id and a hash of its text.
     """
+    if not 0 < passage <= length:
+        raise ValueError("a passage has between one and `length` bytes")
     none = -(2**63)
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("id"), text_of(text_col).alias("text"))
-    runs = texts.mapInArrow(_runs(length), "id long, start long, n int, anchor long, context long")
-    anchors = runs.groupBy("anchor").count().filter("count > 1").select("anchor")
-    runs = cut(runs.join(anchors, "anchor", "left_semi"))
-    contexts = runs.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "start", "n")).alias("first"))
-    kinds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    contexts = cut(contexts.join(kinds, "anchor"))
-
-    want = contexts.filter("kinds > 1").select(F.col("first.id").alias("id"), F.struct("anchor", "context", (F.col("kinds") > crowd).alias("crowd"), "first.id", "first.start", "first.n").alias("w"))
-    wanted = want.groupBy("id").agg(F.collect_list("w").alias("wanted"))  # bounded by the text
-    pieces_of = texts.join(wanted, "id").select("text", "wanted").mapInArrow(_cut_out(length), "anchor long, context long, crowd boolean, id long, start long, bytes binary")
-    pieces_of = cut(pieces_of)
-    usual = pieces_of.filter("NOT crowd").repartition("anchor").sortWithinPartitions("anchor", "id", "start")
-    found = usual.select("anchor", "context", "bytes").mapInArrow(_compared(length, keep), FOUND)
-    windows = pieces_of.filter("crowd").mapInArrow(_hashed(length), "anchor long, context long, id long, start long, place int, one long, two long")
-    met = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", F.col("start") + F.col("place"))).alias("first")).filter("n > 1")
-    crowded = windows.join(met, ["one", "two"])
-    if keep == "first":
-        crowded = crowded.filter(F.struct("id", F.col("start") + F.col("place")) != F.col("first"))
-    crowded = crowded.groupBy("anchor", "context").agg(F.transform(F.array_sort(F.collect_set("place")), lambda p: F.struct(p.alias("lo"), (p + 1).alias("hi"))).alias("found"))
-    found = found.unionAll(crowded)
-
-    seen = contexts.join(found, ["anchor", "context"], "left").select("anchor", "context", "copies", "first", "found")
-    marked = runs.join(seen, ["anchor", "context"])
-    copy = F.col("copies") > 1 if keep == "none" else F.struct("id", "start", "n") != F.col("first")
+    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("id"), text_of(text_col).alias("text")).select("id", F.xxhash64("text").alias("x"), "text")
+    runs = texts.mapInArrow(_runs(length, passage), "id long, x long, start long, n int, anchor long, context long")
+    anchors = swept(cut(runs.groupBy("anchor").count().filter("count > 1").select("anchor")))
+    runs = swept(cut(runs.join(anchors, "anchor", "left_semi"), anchors))
+    who = F.xxhash64("id", "x")
+    contexts = cut(runs.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(who).alias("lo"), F.max(who).alias("hi"), F.min(F.struct("id", "x", "start", "n")).alias("first")))
+    kinds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+
+    want = contexts.join(kinds, "anchor").select(F.struct("anchor", "context", (F.col("kinds") > crowd).alias("crowd"), "first.id", "first.x", "first.start", "first.n", "lo", "hi").alias("w"))
+    wanted = want.groupBy("w.id", "w.x").agg(F.collect_list("w").alias("wanted"))  # bounded by the text
+    pieces_of = swept(cut(texts.join(wanted, ["id", "x"]).select("text", "wanted").mapInArrow(_cut_out(length), WANTED)))
+    usual = pieces_of.filter("NOT crowd").repartition("anchor").sortWithinPartitions("anchor", "id", "x", "start", "context")
+    found = usual.select("anchor", "context", "bytes", "lo", "hi", "n").mapInArrow(_compared(length, passage, keep), FOUND)
+
+    def counted(width: int, passages: bool) -> DataFrame:
+        """Of crowded anchors the windows of `width` bytes that are elsewhere, or in several texts, by context."""
+        windows = pieces_of.filter("crowd").mapInArrow(_hashed(width), "anchor long, context long, id long, x long, start long, lo long, hi long, place int, one long, two long")
+        place = F.struct("id", "x", F.col("start") + F.col("place"))
+        met = windows.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("lo").alias("least"), F.max("hi").alias("most"))
+        met = met.filter("least != most" if passages else "first != last").select("one", "two", "first")
+        met = windows.join(met, ["one", "two"])
+        if keep == "first" and not passages:
+            met = met.filter(place != F.col("first"))
+        spans = F.transform(F.array_sort(F.collect_set("place")), lambda p: F.struct(p.alias("lo"), (p + 1).alias("hi")))
+        return met.groupBy("anchor", "context").agg(spans.alias("shared" if passages else "found"))
+
+    crowded = counted(length, False).join(counted(passage, True), ["anchor", "context"], "full")
+    found = found.unionByName(crowded.select("anchor", "context", F.col("found").cast(SPANS).alias("found"), F.col("shared").cast(SPANS).alias("shared")))
+    found = swept(cut(found.filter("size(found) > 0 OR size(shared) > 0"), pieces_of))
+
+    # What is to be said of a context's occurrences: of most nothing.
+    told = contexts.select("anchor", "context", "copies", "lo", "hi", "first").join(found, ["anchor", "context"], "left").filter("copies > 1 OR found IS NOT NULL OR shared IS NOT NULL")
+    marked = runs.join(told, ["anchor", "context"])
+    copy = F.col("copies") > 1 if keep == "none" else F.struct("id", "x", "start", "n") != F.col("first")
     everything = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))
-    marked = marked.withColumn("found", F.when(copy, everything).otherwise(F.col("found"))).filter(F.size("found") > 0)
-    marked = marked.select("id", F.explode("found").alias("f"), "start").select("id", F.struct((F.col("start") + F.col("f.lo")).alias("lo"), (F.col("start") + F.col("f.hi")).alias("hi")).alias("f"))
-    marked = marked.groupBy("id").agg(F.collect_set("f").alias("found"))  # bounded by the text
-    out = texts.join(marked, "id", "left").select("id", "text", "found")
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo:long,hi:long>>"
-    out = out.mapInArrow(_result(length, rest), schema + (", rest binary" if rest else ""))
+
+    def at(spans: Column, passages: bool) -> Column:
+        return F.transform(F.coalesce(spans, F.array().cast(SPANS)), lambda f: F.struct((F.col("start") + f["lo"]).alias("lo"), (F.col("start") + f["hi"]).alias("hi"), F.lit(passages).alias("passage")))
+
+    marks = F.concat(at(F.when(copy, everything).otherwise(F.col("found")), False), at(F.when(F.col("lo") != F.col("hi"), everything).otherwise(F.col("shared")), True))
+    marked = marked.select("id", "x", F.explode(marks).alias("m")).groupBy("id", "x").agg(F.collect_set("m").alias("marks"))  # bounded by the text
+    out = texts.join(marked, ["id", "x"], "left").select("id", "text", "marks")
+    spans = "array<struct<lo:long,hi:long>>"
+    schema = f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, removed {spans}, passages {spans}"
+    out = out.mapInArrow(_result(length, passage, words, rest), schema + (", rest binary" if rest else ""))
     return out.withColumn("id", F.nullif("id", F.lit(none))).withColumnRenamed("id", id_col)

@@ -327,6 +327,38 @@ def test_repeated_substrings(docs, plain, keep, crowd):
     assert any(w[1] for w in want.values())
 
 
+@pytest.mark.parametrize("crowd", [4096, 1])
+def test_passages_and_awkward_rows(spark, crowd):
+    """Null and repeated ids are texts of their own; passages are in several texts, repeats within one are none."""
+    one, two, alone = prose(90, 61), prose(70, 62), prose(60, 63)
+    inner = " ".join(one.split()[20:45])
+    rows = [(None, one), (None, prose(20, 64) + " " + inner + " " + prose(20, 65)), (4, two), (4, "x " + two), (6, alone + "\n" + alone), (7, "long " * 3000), (8, None), (None, prose(30, 66)), (9, two), (9, two)]
+    length, least, words = 60, 40, 12
+    raw = [(t or "").encode() for _, t in rows]
+    seen = {}
+    for w in (length, least):
+        for r, t in enumerate(raw):
+            for i in range(len(t) - w + 1):
+                seen.setdefault(t[i : i + w], []).append(r)
+    same = {k: rows[k] for k in range(len(rows))}
+    want = []
+    for r, t in enumerate(raw):
+        marks = []
+        for w, hit in ((length, lambda at, r: len(at) > 1), (least, lambda at, r: len({same[k] for k in at}) > 1)):
+            mark = bytearray(len(t))
+            for i in range(len(t) - w + 1):
+                if hit(seen[t[i : i + w]], r):
+                    mark[i : i + w] = b"\1" * w
+            marks.append(bytes(mark))
+        spans = [m.span() for m in re.finditer(b"\1+", marks[1])]
+        whole = [sum(lo <= m.start() and m.end() <= hi for m in re.finditer(rb"\S+", t)) for lo, hi in spans]
+        want.append((rows[r][0] or 0, len(t), sum(marks[0]), sum(n > words for n in whole)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = substrings.repeated_substrings(df, length=length, passage=least, words=words, crowd=crowd).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_passages) for r in got) == sorted(want)
+    assert {w[3] for w in want} == {0, 1} and any(w[2] for w in want if w[0] == 6)
+
+
 def test_longest_previous_factors():
     rng = np.random.default_rng(7)
     contexts = [bytes(rng.choice(list(b"ab"), 40).astype(np.uint8)) for _ in range(6)]
@@ -338,7 +370,7 @@ def test_longest_previous_factors():
             at.append((k, i))
     common = lambda a, b: next((n for n in range(12) if a[n] != b[n]), 12)
     assert factors.previous().tolist() == [max((common(t, u) for u in text[:i]), default=0) for i, t in enumerate(text)]
-    assert factors.anywhere().tolist() == [max(common(t, u) for j, u in enumerate(text) if j != i) for i, t in enumerate(text)]
+    assert factors.following().tolist() == [max((common(t, u) for u in text[i + 1 :]), default=0) for i, t in enumerate(text)]
 
 
 def test_substrings_of_nothing(docs):
