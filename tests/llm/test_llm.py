@@ -286,6 +286,27 @@ def test_mixing(spark):
     kept = {r.doc_id for r in mixing.drawn(df, labels, ("clean", "toxic"), (1.0, 0.0)).collect()}
     assert {i for i, _, d in rows if d == "clean"} <= kept and len(kept & {i for i, _, d in rows if d == "toxic"}) < 5
     assert mixing.mix_rates(df.filter("false"), labels, ("clean", "toxic"), (0.5, 0.5)).count() == 0
+    # Labels of ids that aren't there use up none of the sample; ids in two domains count for the lesser.
+    strangers = spark.createDataFrame([(10_000 + i, "toxic") for i in range(300)] + [(0, "toxic"), (None, "toxic")], "id bigint, domain string")
+    few = {r.doc_id: r.domain for r in mixing.mix_rates(df, labels.union(strangers), ("clean", "toxic"), (0.9, 0.1), sample=100).collect()}
+    assert np.mean([few[i] == d for i, _, d in rows if i >= 100]) > 0.95
+
+
+def test_mixing_against_plain_projected_gradient(spark):
+    """Rates of soft members, found again by plain least squares under r >= 0 in the variables sqrt(n) r."""
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet((0.4, 0.6, 0.5), 60)
+    n = rng.integers(5, 200, 60)
+    frame = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p, strict=True)], "n long, p0 double, p1 double, p2 double")
+    want = np.array([0.2, 0.5, 0.3]) * n.sum()
+    steps, totals = mixing.fit(frame, ["p0", "p1", "p2"], None, [0.2, 0.5, 0.3])
+    rate = np.array([r[0] for r in frame.select(mixing._rate(steps, ["p0", "p1", "p2"])).collect()])
+    assert np.allclose(totals, (n[:, None] * p).sum(axis=0)) and (rate >= 0).all()
+    assert np.abs((rate * n) @ p - want).max() < 1e-4 * n.sum()
+    plain, inner = np.ones(60), (p * n[:, None]).T @ p
+    for _ in range(2000):
+        plain = np.maximum(0, plain + p @ np.linalg.solve(inner, want - (plain * n) @ p))
+    assert np.abs((plain * n) @ p - want).max() < 1e-4 * n.sum() and np.allclose(plain, rate, atol=1e-2)
 
 
 def test_mixing_keeps_clean_texts_of_rare_words(spark):
