@@ -39,8 +39,8 @@ FOLDS = 10
 FINGERPRINT = 40
 #: log10 of probabilities is kept in steps of RANGE / 254, code 0 meaning none.
 RANGE = 12.0
-CHUNK_ROWS = 2048
-CHUNKS_A_SHARD = 3
+#: Bytes of text that a chunk has, and that a shard's n-grams come from, on average.
+CHUNK_BYTES, SHARD_BYTES = 7 << 20, 21 << 20
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -113,8 +113,8 @@ class _Chunk:
             owner = (key >> np.uint64(FINGERPRINT)).astype(np.int64)
             self.levels.append({"contexts": contexts, "rank": rank, "place": place, "owner": owner, "each": np.bincount(owner, minlength=len(contexts)), "successor": key & np.uint64((1 << FINGERPRINT) - 1), "counts": np.bincount(place, weight, len(key)).astype(np.int64)})
 
-    def shards(self, n: int) -> list[bytes]:
-        """What goes to each shard: words and contexts go by the leading bits of their hash, so a shard's are neighbours."""
+    def shards(self, n: int) -> dict[int, bytes]:
+        """What goes to each shard that anything goes to: words and contexts go by the leading bits of their hash, so a shard's are neighbours."""
         edges = _edges(n)
         out = [[] for _ in range(n)]
         cut = np.searchsorted(self.known, edges)
@@ -129,7 +129,7 @@ class _Chunk:
                 i, j = first[a], first[b]
                 low = x["successor"][i:j]
                 out[s] += [x["contexts"][a:b] if x["contexts"] is not self.known else self.known[:0], _small(x["each"][a:b]), low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8), _small(x["counts"][i:j])]
-        return [_packed(arrays) for arrays in out]
+        return {s: _packed(arrays) for s, arrays in enumerate(out) if any(len(a) for a in arrays)}
 
 
 def _edges(shards: int) -> np.ndarray:
@@ -140,7 +140,7 @@ def _edges(shards: int) -> np.ndarray:
 def _count(order: int, shards: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         blobs = _Chunk(table.column("id").to_pylist(), table.column("text"), order).shards(shards)
-        return pa.table({"chunk": pa.array([key[0].as_py()] * shards, pa.int64()), "shard": pa.array(range(shards), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(blobs), pa.int64()), "shard": pa.array(list(blobs), pa.int32()), "blob": pa.array(list(blobs.values()), pa.binary())})
 
     return run
 
@@ -249,22 +249,27 @@ def _score(order: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row for each row of df: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose crc32 of the id as text isn't divisible by ten and scores all. A
     null text is empty: its only token is the end. A null id counts as the text "None" and is
     carried. Repeated rows count as often as they come. If nothing trains, every token has the same
     chance. An empty table gives an empty result. Other columns are not read.
+
+    Words are told apart by hashes of 64 bits: two of n different ones share theirs with a chance of
+    n * n / 2 ** 65. Chunks and shards follow from the bytes of all texts, so that a task's share
+    stays the same; a chunk sends to a shard only what it has for it, so that what is sent is never
+    more than the chunks' distinct n-grams.
     """
-    rows = df.count()
-    chunks = max(1, math.ceil(rows / chunk_rows))
-    shards = max(1, chunks // CHUNKS_A_SHARD)
+    text = text_of(text_col)
+    size = df.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
+    chunks, shards = (max(1, math.ceil(size / x)) for x in (chunk_bytes, shard_bytes))
     kind = dict(df.dtypes)[id_col]
-    dealt = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
+    dealt = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
     blobs = dealt.groupBy("chunk").applyInArrow(_count(order, shards), "chunk long, shard int, blob binary")
     by_shard = blobs.groupBy("shard")
-    totals = by_shard.applyInArrow(_totals, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    totals = by_shard.applyInArrow(_totals, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))  # one row
     answers = by_shard.applyInArrow(_answer, "chunk long, shard int, blob binary").crossJoin(F.broadcast(totals))
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order), schema)
