@@ -255,7 +255,7 @@ def test_lm(docs, plain, order):
                     contexts[context(x, k, m)] += 1
     kinds = Counter(k for k, _ in grams)
     n, z = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
-    rows = lm.lm_scores(docs, order=order, chunk_rows=5).collect()
+    rows = lm.lm_scores(docs, order=order, chunk_bytes=4000, shard_bytes=9000).collect()
     assert len(rows) == len(tokens)
     for r in rows:
         x, base, score = tokens[r.doc_id], 0.0, 0.0
@@ -491,3 +491,30 @@ def test_licences(spark):
         5: (None, "GPL-3.0", "inherited", "a/b/c"), 6: (None, None, "none", None), 7: (None, "MIT", "inherited", "a"),
     }
     assert licences.licences(df.filter("false"), "doc_id", "path", "text", F.lit(True)).count() == 0
+
+
+def test_licence_scores_against_plain_cosines(spark):
+    """Headers over several lines, whole files, null ids, and a line of 100,000 words."""
+    apache, mit = licences.TEMPLATES["Apache-2.0"][2], licences.TEMPLATES["MIT"][4]
+    header = "# Copyright 2020 The Authors\n# " + apache.replace(". ", ".\n# ")
+    rows = [(1, "p/a.py", header + "\n\nimport os\n"), (2, "p/LICENSE", mit), (None, "p/q/b.py", "x"), (4, "p/c.py", "licensed " + "word " * 100_000), (None, "p/LICENSE", "permission")]
+    df = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    got = sorted(licences.licences(df, "doc_id", "path", "text", F.col("path").endswith("LICENSE")).collect(), key=lambda r: (r.doc_id or 0, r.path))
+    units = {}
+    for k, (_, path, text) in enumerate(rows):
+        own = [x for x in [*text.split("\n"), *re.split(r"\n\s*\n", text), *([text] if path.endswith("LICENSE") else [])] if re.search(licences.SIGNS, x)]
+        units[k] = list(dict.fromkeys(own))
+    every = [re.findall(licences.TOKEN, u.lower()) for own in units.values() for u in own]
+    inverse = lambda t: math.log((1 + len(every)) / (1 + sum(t in x for x in every))) + 1
+    known = {t for all_said in licences.TEMPLATES.values() for said in all_said for t in re.findall(licences.TOKEN, said.lower())}
+    best = {}
+    for k, own in units.items():
+        best[k] = 0.0
+        for u in own:
+            a = {t: n * (inverse(t) if t in known else math.log(1 + len(every)) + 1) for t, n in Counter(re.findall(licences.TOKEN, u.lower())).items()}
+            for all_said in licences.TEMPLATES.values():
+                for said in all_said:
+                    b = {t: n * inverse(t) for t, n in Counter(re.findall(licences.TOKEN, said.lower())).items()}
+                    best[k] = max(best[k], sum(x * b.get(t, 0) for t, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())))
+    assert [round(r.score, 9) for r in sorted(got, key=lambda r: [x[:2] for x in rows].index((r.doc_id, r.path)))] == [round(best[k], 9) for k in range(5)]
+    assert {(r.doc_id, r.path): (r.own, r.licence) for r in got} == {(1, "p/a.py"): ("Apache-2.0",) * 2, (2, "p/LICENSE"): ("MIT",) * 2, (None, "p/q/b.py"): (None, "MIT"), (4, "p/c.py"): (None, "MIT"), (None, "p/LICENSE"): (None, "MIT")}
