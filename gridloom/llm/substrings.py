@@ -40,8 +40,8 @@ GRAM = 50
 CROWD = 4096
 SEGMENT = (1 << 20) - 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Bytes of contexts whose suffixes are sorted at once.
-BATCH = 1 << 20
+#: Bytes of contexts whose suffixes are sorted at once; neighbours in their order that are compared at once.
+BATCH, ROWS = 1 << 19, 1 << 12
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,50 +134,46 @@ def _smaller(position: np.ndarray) -> np.ndarray:
 
 
 class Factors:
-    """Suffix order of some contexts to a depth, and the longest factors that follow from it."""
+    """Suffix order of the windows of some contexts to a depth, and the longest factors that follow from it.
+
+    A window is the suffix that begins there, to the depth or its context's end, which is less than
+    all bytes. No byte of UTF-8 is 254 or 255, so that every byte can be moved up by one for it.
+    """
 
     def __init__(self, contexts: list[bytes], length: int, windows: list[int] | None = None):
         """windows: of each context how many of its first places are asked for; else all with `length` bytes before its end."""
-        self.length = length
-        data = np.frombuffer(b"".join(contexts), np.uint8)
-        n = len(data)
         sizes = np.array([len(c) for c in contexts])
         ends = np.cumsum(sizes)
-        end = np.repeat(ends, sizes)
-        # Ranks by the first 1, 2, 4 ... symbols; the end of a context is a symbol of its own, less than all others.
-        self.levels: list[tuple[int, np.ndarray]] = []
-        depth, rank = 1, data.astype(np.int64) + 1
-        while True:
-            self.levels.append((depth, rank))
-            if depth == length:
-                break
-            step = min(depth, length - depth)
-            then = np.zeros(n, np.int64)
-            inside = np.arange(n) + step < end
-            then[inside] = rank[np.flatnonzero(inside) + step]
-            # Up to four symbols of nine bits are a number; beyond, pairs of ranks are ranked anew.
-            rank = (rank << (9 * step)) | then if depth < 4 else rank * np.int64(n + 1) + then
-            if depth + step >= 4:
-                rank = np.unique(rank, return_inverse=True)[1] + 1
-            depth += step
-        # Windows in suffix order, ties by position.
         windows = sizes - length + 1 if windows is None else np.array(windows)
-        starts = np.flatnonzero(np.arange(n) - np.repeat(ends - sizes, sizes) < np.repeat(windows, sizes))
-        self.ends = end
-        order = np.argsort(rank[starts], kind="stable")
-        self.position = starts[order]
-        self.order = order
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of the suffixes at text positions a and b, length at most."""
-        out = np.where(self.levels[-1][1][a] == self.levels[-1][1][b], np.minimum(self.length, np.minimum(self.ends[a] - a, self.ends[b] - b)), -1)
-        rest = np.flatnonzero(out < 0)
-        x, y, got = a[rest], b[rest], np.zeros(len(rest), np.int64)
-        for depth, rank in reversed(self.levels[:-1]):
-            fits = (got + depth <= self.length) & (x + depth <= self.ends[a[rest]]) & (y + depth <= self.ends[b[rest]])
-            fits[fits] = rank[x[fits]] == rank[y[fits]]
-            x, y, got = x + fits * depth, y + fits * depth, got + fits * depth
-        out[rest] = got
+        width = -(-length // 8) * 8
+        data = np.minimum(np.frombuffer(b"".join(contexts) + bytes(width), np.uint8), 254) + np.uint8(1)
+        starts = np.concatenate([np.arange(e - n, e - n + k) for e, n, k in zip(ends, sizes, windows, strict=True)] or [np.zeros(0, np.int64)])
+        reach = np.minimum(length, np.repeat(ends, windows) - starts)
+        suffix = np.lib.stride_tricks.sliding_window_view(data, width)[starts]
+        over = np.flatnonzero(reach < width)
+        suffix[over] *= np.arange(width) < reach[over, None]
+        # Windows in suffix order, ties by position.
+        self.order = np.argsort(suffix.view(f"S{width}").ravel(), kind="stable") if len(starts) else starts
+        self.position = starts[self.order]
+        self.common = np.zeros(max(0, len(starts) - 1), np.int64)
+        for lo in range(0, len(self.common), ROWS):
+            near = suffix[self.order[lo : lo + ROWS + 1]].view(np.uint64)
+            off = near[1:] ^ near[:-1]
+            place = (off != 0).argmax(axis=1)
+            first = off[np.arange(len(off)), place]
+            same = place * 8 + (first[:, None].view(np.uint8) != 0).argmax(axis=1)
+            self.common[lo : lo + ROWS] = np.where(first == 0, reach[self.order[lo : lo + len(off)]], same)
+        # Least common prefix of 1, 2, 4 ... neighbours from each place on.
+        self.least = [self.common]
+        while (step := 1 << (len(self.least) - 1)) * 2 <= len(self.common):
+            self.least.append(np.minimum(self.least[-1][:-step], self.least[-1][step:]))
+
+    def _prefix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of the windows at places a < b of the order."""
+        out, level = np.zeros(len(a), np.int64), np.frexp(b - a)[1] - 1
+        for k, least in enumerate(self.least):
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(least[a[at]], least[b[at] - (1 << k)])
         return out
 
     def _at_starts(self, values: np.ndarray) -> np.ndarray:
@@ -187,12 +183,12 @@ class Factors:
 
     def _longest(self, position: np.ndarray) -> np.ndarray:
         """Of each window, in suffix order, the longest common prefix with one of a smaller position: one of the two nearest in that order."""
+        here = np.arange(len(position))
         before = _smaller(position)
         after = len(position) - 1 - _smaller(position[::-1])[::-1]
         out = np.zeros(len(position), np.int64)
-        for near in (before, np.where(after < len(position), after, -1)):
-            has = near >= 0
-            out[has] = np.maximum(out[has], self.common(self.position[has], self.position[near[has]]))
+        for a, b, has in ((before, here, before >= 0), (here, after, after < len(position))):
+            out[has] = np.maximum(out[has], self._prefix(a[has], b[has]))
         return out
 
     def previous(self) -> np.ndarray:
@@ -201,7 +197,7 @@ class Factors:
 
     def following(self) -> np.ndarray:
         """Of each window, in text order, the longest factor that begins later: the previous one of mirrored positions."""
-        return self._at_starts(self._longest(len(self.ends) - 1 - self.position))
+        return self._at_starts(self._longest(self.position.max(initial=0) - self.position))
 
     def shared(self, least: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Of each window, in text order, whether its first `least` bytes are in more than one text; lo and hi: of each window, in text order, the least and greatest text that has its context."""
@@ -209,7 +205,7 @@ class Factors:
         if not n:
             return np.zeros(0, bool)
         new = np.ones(n, bool)
-        new[1:] = self.common(self.position[:-1], self.position[1:]) < least
+        new[1:] = self.common < least
         first = np.flatnonzero(new)
         many = np.minimum.reduceat(lo[self.order], first) != np.maximum.reduceat(hi[self.order], first)
         return self._at_starts(np.repeat(many, np.diff(np.append(first, n))))
@@ -399,9 +395,9 @@ def repeated_substrings(
     found = found.unionByName(crowded.select("anchor", "context", F.col("found").cast(SPANS).alias("found"), F.col("shared").cast(SPANS).alias("shared")))
     found = swept(cut(found.filter("size(found) > 0 OR size(shared) > 0"), pieces_of))
 
-    # What is to be said of a context's occurrences: of most nothing.
+    # What is to be said of a context's occurrences, of most nothing: a table of its own, so that a hot context's runs can be split.
     told = contexts.select("anchor", "context", "copies", "lo", "hi", "first").join(found, ["anchor", "context"], "left").filter("copies > 1 OR found IS NOT NULL OR shared IS NOT NULL")
-    marked = runs.join(told, ["anchor", "context"])
+    marked = runs.join(cut(told), ["anchor", "context"])
     copy = F.col("copies") > 1 if keep == "none" else F.struct("id", "x", "start", "n") != F.col("first")
     everything = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))
 
