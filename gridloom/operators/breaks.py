@@ -12,6 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core import ID, cut, discard, with_ordinal
+from .aggregate import cumulate
+
 
 def _frame(df: DataFrame, breaks: list[float]) -> DataFrame:
     rows = [(i, float(b) if b is not None else None) for i, b in enumerate(breaks)]
@@ -49,13 +52,26 @@ def unique_values(df: DataFrame, x: str, k: int) -> DataFrame:
 
 
 def equal_count(df: DataFrame, x: str, k: int, nonzero: bool = False) -> DataFrame:
-    """Classes of about as many rows each: class j begins at the first value with at least j / k of the rows below it."""
+    """Classes of about as many rows each: the rows that are left are dealt to the classes that are left, each with a distinct value of its own at least.
+
+    The distinct values are numbered with the rows before each; a class takes one look at them.
+    """
     rows = df.filter(F.col(x).isNotNull() & (F.col(x) != 0 if nonzero else F.lit(True)))
-    classes, n = k - nonzero, rows.count()
-    if not n:
+    counts = rows.groupBy(F.col(x).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    known = cut(cumulate(with_ordinal(counts, ["v"]), "c", name="upto").select(ID, "v", (F.col("upto") - F.col("c")).alias("before")))
+    n, m = rows.count(), known.count()
+    classes = k - nonzero
+    if not m:
         return _frame(df, [None] * k)
-    bounds = rows.agg(F.expr(f"array({', '.join(f'percentile_disc({j / classes!r}) within group (order by {x})' for j in range(classes))})")).first()[0]
-    return _frame(df, ([0.0] if nonzero else []) + [float(b) for b in bounds])
+    found, most, want = [], min(classes, m), 0
+    for j in range(most):
+        # The first value with `want` rows before it, but no further than leaves a value for each class after this one.
+        last = m + j - most
+        row = known.filter((F.col("before") >= want) | (F.col(ID) == last)).agg(F.min(F.struct(ID, "v", "before")).alias("f")).first()["f"]
+        found.append(row["v"])
+        want = row["before"] + (n - row["before"]) // (most - j)
+    discard(known)
+    return _frame(df, ([0.0] if nonzero else []) + found + found[-1:] * (classes - most))
 
 
 def natural_breaks(values: np.ndarray, weights: np.ndarray, k: int) -> list[float]:

@@ -75,6 +75,27 @@ def centroid(ring: Column) -> Column:
     return F.when(a != 0, point(moment("x"), moment("y")))
 
 
+def mls_length(seq: Column) -> Column:
+    """The length of lines in one sequence, with undefined points between them."""
+    return _sum(seq, lambda p, q: F.coalesce(dist(p, q), F.lit(0.0)))
+
+
+def mid(ring: Column) -> Column:
+    """A place within a ring: the middle of the widest stretch inside of it on the line across the middle of its box."""
+    lo, hi = lower_bound(ring), upper_bound(ring)
+    y = (lo["y"] + hi["y"]) / 2
+    met = F.filter(_pairs(_closed(ring)), lambda e: (e["p"]["y"] > y) != (e["q"]["y"] > y))
+    at = F.array_sort(F.transform(met, lambda e: (e["q"]["x"] - e["p"]["x"]) * (y - e["p"]["y"]) / (e["q"]["y"] - e["p"]["y"]) + e["p"]["x"]))
+    spans = F.transform(F.filter(F.transform(at, lambda x, i: F.struct((F.get(at, i + 1) - x).alias("w"), ((F.get(at, i + 1) + x) / 2).alias("x"), (i % 2).alias("odd"))), lambda s: s["odd"] == 0), lambda s: F.struct(s["w"], s["x"]))
+    return F.when(F.size(ring) > 2, point(F.array_max(spans)["x"], y))
+
+
+def centroid_or_mid(ring: Column) -> Column:
+    """The centroid if it lies within, else a place that does."""
+    middle = centroid(ring)
+    return F.when(F.coalesce(inside(middle, ring), F.lit(False)), middle).otherwise(mid(ring))
+
+
 def points2sequence(points: DataFrame, geometry: str, rel: str, ordinal: str = ID) -> DataFrame:
     """The points of each sequence in order of the ordinal."""
     grouped = points.filter(F.col(rel).isNotNull()).groupBy(F.col(rel).alias(ID)).agg(F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(geometry).alias("p")))).alias("_s"))
@@ -101,6 +122,13 @@ def dyna_point(lines: DataFrame, a: str, b: str, step: float, ends: bool = False
     return with_ordinal(rows.select("sequence_rel", "ordinal", point(F.col("_a.x") + (F.col("_b.x") - F.col("_a.x")) * part, F.col("_a.y") + (F.col("_b.y") - F.col("_a.y")) * part).alias("point")), ["sequence_rel", "ordinal"])
 
 
+def dyna_segment(lines: DataFrame, a: str, b: str, step: float, ends: bool = False) -> DataFrame:
+    """The stretches between the points of dyna_point: sequence_rel, ordinal, point, next_point."""
+    points = dyna_point(lines, a, b, step, ends).select("sequence_rel", "ordinal", "point")
+    then = points.select("sequence_rel", (F.col("ordinal") - 1).alias("ordinal"), F.col("point").alias("next_point"))
+    return with_ordinal(points.join(then, ["sequence_rel", "ordinal"]), ["sequence_rel", "ordinal"])
+
+
 def inside(p: Column, ring: Column) -> Column:
     """Whether a point lies within a ring, by the parity of the sides a ray to the right meets."""
     crossed = lambda e: ((e["p"]["y"] > p["y"]) != (e["q"]["y"] > p["y"])) & (p["x"] < (e["q"]["x"] - e["p"]["x"]) * (p["y"] - e["p"]["y"]) / F.nullif(e["q"]["y"] - e["p"]["y"], F.lit(0.0)) + e["p"]["x"])
@@ -124,6 +152,13 @@ def point_in_polygon(points: DataFrame, geometry: str, polygons: DataFrame, ring
     return points.select(ID).join(found, ID, "left")
 
 
+def point_in_ranked_polygon(points: DataFrame, geometry: str, polygons: DataFrame, ring: str, rank: str, cell: float) -> DataFrame:
+    """(_id, polygon_rel): of the polygons that a point lies in the one of the greatest rank, the first of equals."""
+    found = point_in_all_polygons(points, geometry, polygons, ring, cell).join(polygons.select(F.col(ID).alias("second_rel"), F.col(rank).alias("_rank")), "second_rel")
+    best = found.groupBy(F.col("first_rel").alias(ID)).agg(F.max(F.struct("_rank", (-F.col("second_rel")).alias("n"))).alias("m"))
+    return points.select(ID).join(best.select(ID, (-F.col("m.n")).alias("polygon_rel")), ID, "left")
+
+
 def buffer_point(p: Column, radius: float, n: int) -> Column:
     """A regular polygon of n corners around a point."""
     turn = 2 * math.pi / n

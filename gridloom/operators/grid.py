@@ -87,7 +87,7 @@ def _relaxed(limit: float, tile: int) -> Callable[[tuple, pd.DataFrame], pd.Data
             for shifts, weight in ((SIDES, 0.5), (CORNERS, 0.5 * math.sqrt(2))):
                 for dr, dc in shifts:
                     j = at.get((r + dr, c + dc))
-                    if j is not None and (new := d + (imp[i] + imp[j]) * weight) < dist[j] and new <= limit:
+                    if j is not None and (new := d + (imp[i] + imp[j]) * weight) < dist[j] and new < limit:
                         dist[j] = new
                         heapq.heappush(heap, (new, j))
         own = (cells["row"] // tile == key[0]) & (cells["col"] // tile == key[1])
@@ -100,7 +100,7 @@ def _relaxed(limit: float, tile: int) -> Callable[[tuple, pd.DataFrame], pd.Data
 def grid_distance(grid: DataFrame, impedance: str, start: str, limit: float = math.inf, tile: int = TILE) -> DataFrame:
     """Least cost from the start cells over eight neighbours: half the sum of both cells' impedance, by the root of two across corners.
 
-    Each round finds the least costs inside every tile, with the ring around it as its neighbours
+    Only costs below the limit count. Each round finds the least costs inside every tile, with the ring around it as its neighbours
     had it, and ends when no tile changes: rounds are about the tiles that a cheapest way crosses.
     """
     cells = grid.filter(F.col(impedance).isNotNull()).select(F.col("row").cast("int"), F.col("col").cast("int"), F.greatest(F.col(impedance), F.lit(0.0)).cast("double").alias("imp"), F.when(F.col(start), F.lit(0.0)).alias("dist"))

@@ -176,6 +176,32 @@ def impedance_matrix(edges: DataFrame, origins: DataFrame, destinations: DataFra
     return found.join(destinations.select(F.col(ID).alias("destination")), "destination", "left_semi").select("origin", "destination", "impedance")
 
 
+# The obsolete names.
+dijkstra_s, dijkstra_m = impedance_table, impedance_matrix
+
+
+def origin_totals(matrix: DataFrame, origins: DataFrame) -> DataFrame:
+    """(_id, nr_destinations, sum_impedance, max_impedance) of each origin of an impedance matrix."""
+    sums = matrix.groupBy(F.col("origin").alias(ID)).agg(F.count(F.lit(1)).alias("nr_destinations"), F.sum("impedance").alias("sum_impedance"), F.max("impedance").alias("max_impedance"))
+    return origins.select(ID).join(sums, ID, "left").fillna({"nr_destinations": 0, "sum_impedance": 0.0})
+
+
+def trip_distribution(matrix: DataFrame, origins: DataFrame, supply: str, destinations: DataFrame, demand: str, decay: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Trips of a production-constrained gravity model: potential = demand * impedance ** -decay.
+
+    The pairs with M_ij; of each origin D_i, the sum of what draws it, and M_ix, its trips; of each
+    destination M_xj. Pairs of no impedance draw nothing; an origin that nothing draws has no trips.
+    """
+    pairs = matrix.join(destinations.select(F.col(ID).alias("destination"), F.col(demand).alias("_w")), "destination")
+    pairs = pairs.withColumn("_pot", F.when(F.col("impedance") > 0, F.col("_w") * F.pow("impedance", F.lit(-float(decay)))).otherwise(0.0))
+    drawn = pairs.groupBy("origin").agg(F.sum("_pot").alias("D_i"))
+    sums = origins.select(F.col(ID).alias("origin"), F.col(supply).alias("_s")).join(drawn, "origin", "left").fillna({"D_i": 0.0})
+    trips = pairs.join(sums, "origin").withColumn("M_ij", F.when(F.col("D_i") > 0, F.col("_s") * F.col("_pot") / F.col("D_i")).otherwise(0.0))
+    of_origin = sums.select(F.col("origin").alias(ID), "D_i", F.when(F.col("D_i") > 0, F.col("_s")).otherwise(0.0).alias("M_ix"))
+    to = trips.groupBy(F.col("destination").alias(ID)).agg(F.sum("M_ij").alias("M_xj"))
+    return trips.select("origin", "destination", "impedance", "M_ij"), of_origin, destinations.select(ID).join(to, ID, "left").fillna({"M_xj": 0.0})
+
+
 def service_area(tree: DataFrame) -> DataFrame:
     """(_id, root): the root of each node of a forest (_id, trace_back), by pointer jumping."""
     state = cut(tree.select(ID, F.coalesce("trace_back", ID).alias("root")))

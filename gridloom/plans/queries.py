@@ -416,7 +416,10 @@ def breaks_unique_values(spark, sf):
     return br.unique_values(domain(spark, sf, "part"), "p_size", 5)
 
 
-@query("""SELECT CAST(j AS BIGINT) AS _id, (SELECT CAST(min(v) AS DOUBLE) FROM (SELECT p_size AS v, cume_dist() OVER (ORDER BY p_size) AS c FROM part) WHERE c >= j / 5.0) AS bound FROM generate_series(0, 4) g(j)""")
+@query("""WITH RECURSIVE c AS (SELECT p_size AS v, count(*) AS n FROM part GROUP BY p_size), s AS (SELECT row_number() OVER (ORDER BY v) - 1 AS i, v, CAST(coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM c),
+t AS (SELECT (SELECT count(*) FROM part) AS n, (SELECT count(*) FROM c) AS m),
+r AS (SELECT 0 AS j, min(s.v) AS v, CAST(0 AS BIGINT) AS b, t.n // 5 AS w FROM s, t GROUP BY t.n UNION ALL SELECT r.j + 1, arg_min(s.v, s.i), min(s.b), min(s.b) + (t.n - min(s.b)) // (5 - r.j - 1) FROM r CROSS JOIN t JOIN s ON s.b >= r.w OR s.i = t.m + r.j + 1 - 5 WHERE r.j < 4 GROUP BY r.j, t.n)
+SELECT CAST(j AS BIGINT) AS _id, CAST(v AS DOUBLE) AS bound FROM r""")
 def breaks_equal_count(spark, sf):
     return br.equal_count(domain(spark, sf, "part"), "p_size", 5)
 
