@@ -5,10 +5,11 @@ a document belongs to each of them by that much. With n its words and p its prob
 are sought that are not negative and bring sum(r * n * p) to the targets, by projected gradient
 descent from r = 1 on the least squares of the gaps:
 
-    r <- max(0, r + step . p),   step = inverse(sum(n * p p')) (targets - sum(r * n * p))
+    r <- max(0, r + step . p),   step = size * inverse(sum(n * p p')) (targets - sum(r * n * p))
 
-which is the gradient in the variables sqrt(n) * r, scaled by the inverse of the domains' own
-products; its steps never overshoot. An iteration is one distributed sum of as many numbers as
+which is the gradient in the variables sqrt(n) * r, scaled by the inverse of the products of the
+domains over the documents that can still move either way; a step that gains nothing is halved.
+An iteration is one distributed sum of as many numbers as
 there are domains. The steps are few and small, so a rate is an expression over a document's own
 probabilities, and no table of rates has to be kept or joined.
 """
@@ -195,22 +196,26 @@ def fit(members: DataFrame, names: list[str], targets: Sequence[float] | None, s
     totals = np.array([first[p] or 0.0 for p in names])
     want = totals * np.array(targets) if targets is not None else totals.sum() * np.array(shares)
     inner = np.array([[first[f"{a}{b}"] or 0.0 for b in names] for a in names])
-    inverse = np.linalg.pinv(inner + 1e-9 * max(1.0, np.trace(inner)) * np.eye(k))
-    steps, now = [], totals
+    steps, now, size, close = [], totals, 1.0, CLOSE * max(1.0, totals.sum())
     for _ in range(rounds):
         gap = want - now
-        if np.abs(gap).max(initial=0) <= CLOSE * max(1.0, totals.sum()):
-            break
-        steps.append([float(x) for x in inverse @ gap])
-        rate = _rate(steps, names)
-        got = members.select(rate.alias("rate"), "n", *names).agg(*[F.sum(F.col("rate") * F.col("n") * F.col(p)).alias(p) for p in names]).first()
+        if np.abs(gap).max(initial=0) <= close or size < CLOSE:
+            return steps, [float(x) for x in totals]
+        step = [float(x) for x in size * (np.linalg.pinv(inner + 1e-9 * max(1.0, np.trace(inner)) * np.eye(k)) @ gap)]
+        at = members.select(_rate([*steps, step], names).alias("rate"), "n", *names)
+        free = [F.sum(F.when(F.col("rate") > 0, F.col("n") * F.col(a) * F.col(b))).alias(f"{a}{b}") for a in names for b in names]
+        got = at.agg(*[F.sum(F.col("rate") * F.col("n") * F.col(p)).alias(p) for p in names], *free).first()
         then = np.array([got[p] or 0.0 for p in names])
-        if len(steps) > 1 and np.abs(then - now).max() <= CLOSE * max(1.0, totals.sum()):
-            break
-        now = then
-    else:
-        if rounds:
-            warnings.warn(f"the tokens still move after {rounds} rounds; their gaps to the targets: {(want - now).round(3).tolist()}", stacklevel=2)
+        gained = np.linalg.norm(gap) - np.linalg.norm(want - then)
+        if gained <= 0:
+            size /= 2
+            continue
+        steps.append(step)
+        now, size, inner = then, min(1.0, 2 * size), np.array([[got[f"{a}{b}"] or 0.0 for b in names] for a in names])
+        if gained <= close * CLOSE:
+            return steps, [float(x) for x in totals]
+    if rounds:
+        warnings.warn(f"the tokens still move after {rounds} rounds; their gaps to the targets: {(want - now).round(3).tolist()}", stacklevel=2)
     return steps, [float(x) for x in totals]
 
 
