@@ -9,8 +9,7 @@ descent from r = 1 on the least squares of the gaps:
 
 which is the gradient in the variables sqrt(n) * r, scaled by the inverse of the products of the
 domains over the documents that can still move either way; a step that gains nothing is halved.
-An iteration is one distributed sum of as many numbers as
-there are domains. The steps are few and small, so a rate is an expression over a document's own
+An iteration is one distributed sum of few numbers, by the domains and their pairs. The steps are few and small, so a rate is an expression over a document's own
 probabilities, and no table of rates has to be kept or joined.
 """
 
@@ -245,12 +244,15 @@ def drawn(df: DataFrame, labels: DataFrame, domains: Sequence[str], factors: Seq
 
     factors: each domain's target as a multiple of its tokens. A rate becomes a whole number of
     copies: the nearest, or, if unbiased, the floor of the rate and a fraction hashed from the id.
+    The nearest keeps a document that is more of the wanted domains than not as it is, where the
+    other would drop it by as much as it is not. Texts without words move nothing and come once
+    unless the prior's rate says otherwise; null ids, ties, repeated and no rows are as in
+    mix_rates.
     """
     classifier = learn(df, labels, domains, id_col, text_col, sample)
-    small, names = _members(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", classifier, ["id"])
-    steps, _ = fit(cut(small.select("n", *names)), names, factors, None)
     members, names = _members(df, text_col, classifier, df.columns)
+    members = cut(members)
+    steps, _ = fit(members, names, factors, None)
     fraction = F.pmod(F.xxhash64(F.col(f"row.`{id_col}`"), F.lit("draw")), F.lit(1 << 30)) / float(1 << 30) if unbiased else F.lit(0.5)
     copies = F.floor(_rate(steps, names) + fraction).cast("int")
-    # The outer form keeps the optimizer from pushing a filter down with all that copies is computed from.
-    return members.withColumn("copy", F.explode_outer(F.array_repeat(F.lit(True), copies))).filter("copy").select("row.*")
+    return members.select(F.explode(F.array_repeat("row", copies)).alias("row")).select("row.*")
