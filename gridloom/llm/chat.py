@@ -185,8 +185,11 @@ def repair_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     table gives an empty result. Ids and turns are whole numbers; other columns are not read.
     """
     role = F.lower(F.trim(F.col(role_col)))
+    # A piece's place has its block above the lower 32 bits: null turns have the first block, those far out the outermost.
+    number = F.least(F.greatest(F.floor(F.col(turn_col) / block).cast("long"), F.lit(1 - (1 << 31))), F.lit((1 << 31) - 1))
+    number = F.when(F.col(turn_col).isNull(), F.lit(-(1 << 31))).otherwise(number)
     rows = df.select(
-        F.col(conv_col).cast("long").alias("conv"), F.floor(F.coalesce(F.col(turn_col), F.lit(0)) / block).cast("long").alias("block"),
+        F.col(conv_col).cast("long").alias("conv"), number.cast("long").alias("block"),
         F.when(role.isin(*ROLES), role).alias("known"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), text_of(text_col).alias("text"),
     ).distinct()
     then = ("turn", "role", "text")

@@ -479,6 +479,15 @@ def test_chat_repair(spark):
     assert chat.repair_chats(df.filter("false")).count() == 0
 
 
+def test_chat_null_and_negative_turns(spark):
+    """Null turns come first, before negative ones, also where blocks are small; a null conversation is one."""
+    rows = [(1, -3, "assistant", "b"), (1, None, "user", "a"), (1, 9, "assistant", "d"), (1, 4, "user", "c"), (None, 0, "user", "x"), (None, 1, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for block in (4096, 2):
+        got = chat.repair_chats(df, block=block).orderBy("conv_id", "place").collect()
+        assert ["".join(x) for x in ([r.rendered for r in got if r.conv_id == c] for c in (1, None))] == ["".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns) for turns in ([("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")], [("user", "x"), ("assistant", "")])]
+
+
 def test_licences(spark):
     rows = [
         (0, "a/LICENSE", "Released under the MIT License."), (1, "a/b/x.py", "code"), (2, "a/b/c/y.py", "text\nLicensed under the Apache License, Version 2.0.\nmore"), (3, "z/w.py", None), (4, "a/b/c/LICENSE", "This work is licensed under the GNU General Public License, version 3."),
