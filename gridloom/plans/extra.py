@@ -16,7 +16,7 @@ from ..operators import polygon as po
 from ..sources import text as tx
 from . import script as sc
 from .model import Model
-from .queries import _roads, domain, query, rounded
+from .queries import ROADS, _roads, domain, query, rounded
 
 # Units
 
@@ -293,7 +293,8 @@ def spatial_index(spark, sf):
     return cn.spatial_index(boxes, "lo", "hi", 2).select(ID, "quad")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ROADS}, w AS (SELECT a, b, c FROM u UNION ALL SELECT s_suppkey, s_suppkey, 0 FROM supplier), r AS (SELECT s_suppkey AS o, s_suppkey AS n, CAST(0 AS DOUBLE) AS d, 0 AS k FROM supplier UNION ALL SELECT o, w.b, min(r.d + w.c), k + 1 FROM r JOIN w ON r.n = w.a WHERE k < 60 GROUP BY o, w.b, k)
+SELECT o AS _id, count(*) AS nr_destinations, round(sum(d), 6) AS sum_impedance, round(max(d), 6) AS max_impedance FROM r WHERE k = 60 GROUP BY o""")
 def origin_totals(spark, sf):
     nodes, edges = _roads(spark, sf)
     return rounded(ne.origin_totals(ne.impedance_matrix(edges, nodes, nodes), nodes))

@@ -265,3 +265,23 @@ def test_scripts(spark):
     assert {r.value for r in inner.collect()} == {7}
     assert script.expand("%a%/%b%", a=1) == "1/%b%"
     assert script.doc_data(spark).filter("name = 'sqrt'").count() == 1 and script.doc_storage_managers(spark).filter("name = 'read_tif'").count() == 1
+
+
+def test_least_claims(spark):
+    """Twelve cells that all prefer a town: at most six of it, and a forest of two at least."""
+    from gridloom.operators import allocation
+
+    rng = np.random.default_rng(4)
+    worth = {u: rng.random(12) + (2 if u == "town" else 0) for u in ("town", "field", "forest")}
+    worth["forest"] -= 1
+    df = spark.createDataFrame([(i, u, float(worth[u][i])) for u in worth for i in range(12)], "_id bigint, use string, suitability double")
+    most, least = {"town": 6, "field": 12, "forest": 12}, {"forest": 2}
+    chosen, prices = allocation.discrete_alloc(df, most, least)
+    got = {r[0]: r.use for r in chosen.collect()}
+    at = {u: sum(x == u for x in got.values()) for u in worth}
+    assert len(got) == 12 and at["town"] <= 6 and at["forest"] >= 2
+    assert all(worth[got[i]][i] - prices[got[i]] >= max(worth[u][i] - prices[u] for u in worth) - 1e-5 for i in got)
+    types, cells = allocation.allocation_report(df, chosen, prices, most, least)
+    assert {r.use: r.total_allocated for r in types.collect()} == at and cells.count() == 12
+    with pytest.raises(RuntimeError, match="claims"):
+        allocation.discrete_alloc(df, {"town": 6, "field": 2, "forest": 1})
