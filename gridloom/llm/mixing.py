@@ -139,7 +139,8 @@ def learn(df: DataFrame, labels: DataFrame, domains: Sequence[str], id_col: str,
     if not sure:
         return nothing
     words = _table(sure)
-    texts = rows.select("domain", known_words(Classifier(domains, prior, words, [])).alias("places")).orderBy("domain", F.xxhash64("places"), "places").collect()  # `sample` rows at most
+    texts = rows.select("domain", known_words(Classifier(domains, prior, words, [])).alias("places")).collect()  # `sample` rows at most
+    texts.sort(key=lambda r: (r["domain"], r["places"]))
     weight = regression([r["places"] for r in texts], np.array([list(domains).index(r["domain"]) for r in texts]), len(words), k)
     weight = np.round(weight - weight[:, :1], 6)
     return Classifier(domains, [float(x) for x in weight[-1]], words, [[float(x) for x in weight[:-1, i]] for i in range(k)])
