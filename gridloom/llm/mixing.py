@@ -188,13 +188,19 @@ def _rate(steps: list[list[float]], names: list[str]) -> Column:
     return rate
 
 
-def fit(members: DataFrame, names: list[str], targets: Sequence[float] | None, shares: Sequence[float] | None, rounds: int = ROUNDS) -> tuple[list[list[float]], list[float]]:
-    """Steps of the descent, and the domains' tokens at rate 1. targets: factors of those; shares: of all tokens. Warns of totals that still move after the last round."""
+def fit(members: DataFrame, names: list[str], factors: Sequence[float] | None, shares: Sequence[float] | None, rounds: int = ROUNDS) -> tuple[list[list[float]], list[float]]:
+    """Steps of the descent, and the domains' tokens at rate 1. shares: of all tokens; or factors, by which the targets are what the domains
+    have if each document comes as often as its likeliest domain's factor says: so much can be met, while none of a domain can't, of which
+    every document has a little. Warns of totals that still move after the last round."""
     k = len(names)
     sums = [F.sum(F.col("n") * F.col(p)).alias(p) for p in names]
+    top, factor = F.greatest(*names) if k > 1 else F.col(names[0]), F.lit(None).cast("double")
+    for p, x in list(zip(names, factors or [], strict=False))[::-1]:
+        factor = F.when(F.col(p) == top, float(x)).otherwise(factor)
+    sums += [F.sum(F.col("n") * F.col(p) * factor).alias(f"want_{p}") for p in names]
     first = members.agg(*sums, *[F.sum(F.col("n") * F.col(a) * F.col(b)).alias(f"{a}{b}") for a in names for b in names]).first()
     totals = np.array([first[p] or 0.0 for p in names])
-    want = totals * np.array(targets) if targets is not None else totals.sum() * np.array(shares)
+    want = np.array([first[f"want_{p}"] or 0.0 for p in names]) if factors is not None else totals.sum() * np.array(shares)
     inner = np.array([[first[f"{a}{b}"] or 0.0 for b in names] for a in names])
     steps, now, size, close = [], totals, 1.0, CLOSE * max(1.0, totals.sum())
     for _ in range(rounds):
@@ -243,7 +249,7 @@ def mix_rates(df: DataFrame, labels: DataFrame, domains: Sequence[str], shares:
 def drawn(df: DataFrame, labels: DataFrame, domains: Sequence[str], factors: Sequence[float], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, unbiased: bool = False) -> DataFrame:
     """The rows of df, each as often as its rate says, with all of their columns; shuffles no text.
 
-    factors: each domain's target as a multiple of its tokens. A rate becomes a whole number of
+    factors: how often documents of each domain are wanted; the targets are the tokens that follow. A rate becomes a whole number of
     copies: the nearest, or, if unbiased, the floor of the rate and a fraction hashed from the id.
     The nearest keeps a document that is more of the wanted domains than not as it is, where the
     other would drop it by as much as it is not. Texts without words move nothing and come once
