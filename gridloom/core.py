@@ -71,8 +71,13 @@ def discard(*done: DataFrame) -> None:
 
 
 def swept(df: DataFrame) -> DataFrame:
-    """df, behind whose cut nothing of the shuffles is left: their files go once the driver's garbage is collected, which else happens by chance."""
-    df.sparkSession._jvm.System.gc()
+    """df, behind whose cut nothing of the shuffles is left: their files go once the driver's garbage is collected, which else happens by chance.
+
+    The scheduler holds on to the job that ran last until it has another, so it gets one of a row.
+    """
+    spark = df.sparkSession
+    spark.range(1).collect()
+    spark._jvm.System.gc()
     return df
 
 
