@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, swept, text_of
 
 # Headers that name licences, and the texts of the short ones.
 TEMPLATES = {
@@ -107,7 +107,7 @@ def _template_vectors(total: int, frequency: dict[str, int]) -> list[tuple[str,
 
 
 def _scored(units: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """units: unit, n (how many times it is there). unit, score and licence of the best template, ties to the first.
+    """units: u (its number), unit, n (how many times it is there). unit, score and licence of the best template, ties to the first.
 
     A unit's vector is rows of (word, weight); so are the templates', which are bounded and broadcast.
     """
@@ -117,13 +117,14 @@ def _scored(units: DataFrame, vocabulary: list[str]) -> DataFrame:
     postings = spark.createDataFrame([(t, k, float(w)) for k, (_, vector) in enumerate(vectors) for t, w in vector.items()], "word string, template int, share double")
     inverse = spark.createDataFrame([(t, _inverse(total, frequency.get(t, 0))) for t in vocabulary], "word string, inverse double")
     names = spark.createDataFrame([(k, name) for k, (name, _) in enumerate(vectors)], "template int, licence string")
-    words = units.select("unit", F.explode(_tokens(F.col("unit"))).alias("word")).groupBy("unit", "word").agg(F.count(F.lit(1)).alias("n"))
-    weighed = words.join(F.broadcast(inverse), "word", "left").select("unit", "word", (F.col("n") * F.coalesce("inverse", F.lit(_inverse(total, 0)))).alias("weight"))
-    size = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size"))
-    dots = weighed.join(F.broadcast(postings), "word").groupBy("unit", "template").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
-    cosine = dots.join(size, "unit").select("unit", F.round(F.col("dot") / F.col("size"), 12).alias("score"), "template")
-    best = cosine.groupBy("unit").agg(F.max(F.struct("score", (-F.col("template")).alias("first"))).alias("b"))
-    return best.select("unit", "b.score", (-F.col("b.first")).alias("template")).join(F.broadcast(names), "template")
+    words = units.select("u", F.explode(_tokens(F.col("unit"))).alias("word")).groupBy("u", "word").agg(F.count(F.lit(1)).alias("n"))
+    weighed = words.join(F.broadcast(inverse), "word", "left").select("u", "word", (F.col("n") * F.coalesce("inverse", F.lit(_inverse(total, 0)))).alias("weight"))
+    size = weighed.groupBy("u").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size"))
+    dots = weighed.join(F.broadcast(postings), "word").groupBy("u", "template").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
+    cosine = dots.join(size, "u").select("u", F.round(F.col("dot") / F.col("size"), 12).alias("score"), "template")
+    best = cosine.groupBy("u").agg(F.max(F.struct("score", (-F.col("template")).alias("first"))).alias("b"))
+    best = best.select("u", "b.score", (-F.col("b.first")).alias("template")).join(F.broadcast(names), "template")
+    return best.join(units.select("u", "unit"), "u").select("unit", "score", "template", "licence")
 
 
 def licences(df: DataFrame, id_col: str, path_col: str, text_col: str, licence_file: Column, like: float = LIKE) -> DataFrame:
@@ -140,8 +141,9 @@ def licences(df: DataFrame, id_col: str, path_col: str, text_col: str, licence_f
     rows = df.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), whole.alias("is_file"), _units(text_of(text_col), whole).alias("units"))
     rows = rows.withColumn("dir", F.regexp_replace("path", "/[^/]*$", "")).withColumn("row", F.monotonically_increasing_id())
     rows = cut(rows)
-    units = cut(rows.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n")))
-    best = cut(_scored(units, vocabulary))
+    units = rows.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    units = cut(units.withColumn("u", F.monotonically_increasing_id()))
+    best = swept(cut(_scored(units, vocabulary)))
     mine = rows.select("row", F.explode("units").alias("unit")).join(best, "unit").groupBy("row").agg(F.max(F.struct("score", (-F.col("template")).alias("first"), "licence")).alias("b"))
     rows = cut(rows.join(mine, "row", "left").select("id", "path", "dir", "is_file", F.when(F.col("b.score") >= like, F.col("b.licence")).alias("own"), F.coalesce("b.score", F.lit(0.0)).alias("score")), units)
     files = rows.filter("is_file AND own IS NOT NULL AND dir IS NOT NULL").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "id", "own")).alias("f"))
