@@ -109,7 +109,7 @@ def test_connect_neighbour_of_all_parts(spark, tmp_path):
     parts = [(i, int(rng.integers(1, 51)), float(rng.integers(9000, 20000)) / 10) for i in range(700)]
     spark.createDataFrame(parts, "p_partkey bigint, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     d = np.sqrt(np.array([[(a - c) ** 2 + (b / 10 - e / 10) ** 2 if i != j else np.inf for j, c, e in parts] for i, a, b in parts]))
-    got = {r[ID]: (r.nearest_rel, r.dist) for r in qu.QUERIES["connect_neighbour_all"](spark, str(tmp_path)).collect()}
+    got = {r[ID]: (r.nearest_rel, r.dist) for r in qu.QUERIES["connect_neighbour"](spark, str(tmp_path)).collect()}
     assert len(got) == 700 and all(abs(got[i][1] - d[i].min()) < 1e-5 and d[i, got[i][0]] == d[i].min() for i in range(700))
 
 
