@@ -284,4 +284,4 @@ def test_least_claims(spark):
     types, cells = allocation.allocation_report(df, chosen, prices, most, least)
     assert {r.use: r.total_allocated for r in types.collect()} == at and cells.count() == 12
     with pytest.raises(RuntimeError, match="claims"):
-        allocation.discrete_alloc(df, {"town": 6, "field": 2, "forest": 1})
+        allocation.discrete_alloc(df, {"town": 6, "field": 2, "forest": 1}, rounds=4)
