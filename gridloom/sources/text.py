@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import ID, with_ordinal
@@ -42,14 +42,11 @@ def read_value(df: DataFrame, text: str, kind: str, place: int = 0) -> DataFrame
 
 
 def split_multi(df: DataFrame, sequence: str) -> DataFrame:
-    """org_rel and geometry: the stretches of a sequence between its undefined elements, empty ones left out, as a domain."""
-    empty = F.slice(F.col(sequence), F.lit(1), F.lit(0))
-    cut_up = F.aggregate(
-        F.col(sequence), F.struct(F.array(empty).alias("done")),
-        lambda s, e: F.struct(F.when(e.isNull(), F.concat(s["done"], F.array(empty))).otherwise(F.concat(F.slice(s["done"], F.lit(1), F.size(s["done"]) - 1), F.array(F.concat(F.element_at(s["done"], -1), F.array(e))))).alias("done")),
-    )["done"]
-    rows = df.select(F.col(ID).alias("org_rel"), F.posexplode(F.filter(cut_up, lambda p: F.size(p) > 0)).alias("_k", "geometry"))
-    return with_ordinal(rows, ["org_rel", "_k"]).drop("_k")
+    """org_rel and geometry: the stretches of a sequence between its undefined elements, empty ones left out, as a domain. Elements are rows between, so that a stretch costs its own length."""
+    each = df.select(F.col(ID).alias("org_rel"), F.posexplode(sequence).alias("_i", "_e"))
+    each = each.withColumn("_k", F.count(F.when(F.col("_e").isNull(), 1)).over(Window.partitionBy("org_rel").orderBy("_i")))
+    rows = each.filter("_e IS NOT NULL").groupBy("org_rel", "_k").agg(F.sort_array(F.collect_list(F.struct("_i", "_e"))).alias("_s"))
+    return with_ordinal(rows.select("org_rel", "_k", F.transform("_s", lambda s: s["_e"]).alias("geometry")), ["org_rel", "_k"]).drop("_k")
 
 
 split_multi_linestring = split_multi
