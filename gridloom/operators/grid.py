@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import ID, cut
+from .lookup import parallelism
 
 #: Cells along each side of a tile.
 TILE = 256
@@ -52,9 +53,11 @@ def perimeter(grid: DataFrame, region: str, north: float = 1.0, east: float = 1.
 def diversity(grid: DataFrame, value: str, radius: int, circle: bool = True) -> DataFrame:
     """At each cell the number of distinct values within a radius."""
     near = [(r, c) for r in range(-radius, radius + 1) for c in range(-radius, radius + 1) if not circle or r * r + c * c <= radius * radius]
-    spread = grid.withColumn("_k", _shifts(near)).select((F.col("row") + F.col("_k.dr")).alias("row"), (F.col("col") + F.col("_k.dc")).alias("col"), F.col(value).alias("_v"))
-    counts = spread.distinct().groupBy("row", "col").agg(F.count("_v").alias("diversity"))
-    return grid.join(counts, ["row", "col"], "left")
+    # Dealt out by blocks of cells first, then by cell: neither a large file's one task nor few ones hold what is spread.
+    cells = grid.select("row", "col", value).repartition(parallelism(grid), F.floor(F.col("row") / TILE), F.floor(F.col("col") / TILE))
+    spread = cells.withColumn("_k", _shifts(near)).select((F.col("row") + F.col("_k.dr")).alias("row"), (F.col("col") + F.col("_k.dc")).alias("col"), F.col(value).alias("_v"))
+    counts = spread.repartition(parallelism(grid), "row", "col").distinct().groupBy("row", "col").agg(F.count("_v").alias("diversity"))
+    return grid.join(counts.hint("merge"), ["row", "col"], "left")
 
 
 def district(grid: DataFrame, value: str, corners: bool = False) -> DataFrame:
