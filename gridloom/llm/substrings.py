@@ -23,15 +23,17 @@ problems that keep every repeat together:
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, swept, text_of
-from .tokens import STEP, mix, pieces
+from .tokens import STEP, mix, pieces, portions
 
 LENGTH = 400
 #: Shared passages: so many bytes at least, and over so many whole words.
@@ -42,6 +44,8 @@ SEGMENT = (1 << 20) - 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Bytes of contexts whose suffixes are sorted at once; neighbours in their order that are compared at once.
 BATCH, ROWS = 1 << 19, 1 << 12
+#: Suffixes that are sorted at once; bytes of texts and what is said of them that become Python's objects at once, and what one such saying takes.
+SUFFIXES, PORTION, SAID = 1 << 18, 1 << 22, 500
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,17 +226,58 @@ FOUND = f"anchor long, context long, found {SPANS}, shared {SPANS}"
 _SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
+def _places(window: np.ndarray, gram: int, powers: tuple[np.ndarray, np.ndarray], anchor: int) -> int:
+    """Where a window has its anchor."""
+    n = len(window) - gram + 1
+    return int((_Rolling(window, powers).of(slice(0, n), slice(gram, n + gram), slice(0, n)).view(np.int64) == anchor).argmax())
+
+
+def _said(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Portions of a batch of texts and lists of what is said of them."""
+    said = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+    for lo, hi in portions(sizes + SAID * said, PORTION):
+        yield batch.slice(lo, hi - lo)
+
+
 def _compared(length: int, passage: int, keep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come sorted by anchor, then by where their context first occurs."""
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
+    gram = min(GRAM, passage)
+
+    def flags(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         # A context reaches beyond its run, whose windows alone are asked for; the others belong to other runs.
         windows = [r[5] for r in rows]
         factors = Factors([r[2] for r in rows], length, windows)
         longest = factors.previous() if keep == "first" else np.maximum(factors.previous(), factors.following())
-        shared = factors.shared(passage, *(np.repeat(np.array([r[k] for r in rows], np.int64), windows) for k in (3, 4)))
+        return longest >= length, factors.shared(passage, *(np.repeat(np.array([r[k] for r in rows], np.int64), windows) for k in (3, 4)))
+
+    def banded(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """Of one anchor's rows: windows that share `passage` bytes have the anchor at the same place, so those of a few places are compared at a time."""
+        powers, windows = _powers(BASES[0], SEGMENT + length + 1), np.array([r[5] for r in rows])
+        # The anchor's place in a context's first window, which is as many bytes less in each later one.
+        places = np.array([_places(np.frombuffer(r[2], np.uint8)[:passage], gram, powers, r[0]) for r in rows])
+        begin = np.cumsum(windows) - windows
+        out, width = (np.zeros(int(windows.sum()), bool), np.zeros(int(windows.sum()), bool)), passage - gram + 1
+        step = max(1, width * SUFFIXES // max(1, int(windows.sum())))
+        for place in range(0, width, step):
+            lo, hi = np.maximum(places - place - step + 1, 0), np.minimum(places - place + 1, windows)
+            some = np.flatnonzero(lo < hi)
+            if not len(some):
+                continue
+            at = np.concatenate([np.arange(begin[k] + lo[k], begin[k] + hi[k]) for k in some])
+            for all_, part in zip(out, flags([(*rows[k][:2], rows[k][2][lo[k] : hi[k] - 1 + length], *rows[k][3:5], int(hi[k] - lo[k])) for k in some]), strict=True):
+                all_[at] = part
+        return out
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        windows = [r[5] for r in rows]
+        if sum(windows) <= SUFFIXES:
+            both = flags(rows)
+        else:
+            both = (np.concatenate(x) for x in zip(*(banded(list(g)) for _, g in itertools.groupby(rows, lambda r: r[0])), strict=True))
         cuts = np.cumsum(windows)[:-1]
-        found, both = ([_intervals(x) for x in np.split(flags, cuts)] for flags in (longest >= length, shared))
+        found, both = ([_intervals(x) for x in np.split(marks, cuts)] for marks in both)
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(found, _SPANS), pa.array(both, _SPANS)], names=["anchor", "context", "found", "shared"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +310,7 @@ def _cut_out(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _said(whole, "wanted")):
             out, size = [], 0
             for text, wanted in zip(batch.column("text").cast(pa.large_binary()), batch.column("wanted").to_pylist(), strict=True):
                 text = text.as_py()
@@ -285,7 +330,8 @@ def _hashed(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = [_powers(b, SEGMENT + length + 1) for b in BASES]
-        for batch in batches:
+        # A window takes some 200 bytes.
+        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in portions(whole.column("n").to_numpy().astype(np.int64) * 200, PORTION)):
             out = [[], [], [], []]
             for k, (raw, windows) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("n").to_pylist(), strict=True)):
                 data = np.frombuffer(raw, np.uint8)
@@ -325,7 +371,7 @@ def _result(length: int, passage: int, words: int, whole: bool) -> Callable[[Ite
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_of = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), spans_of, spans_of, pa.binary())
-        for batch in batches:
+        for batch in (part for all_ in batches for part in _said(all_, "marks")):
             out = []
             for text, places in zip(batch.column("text").cast(pa.large_binary()), batch.column("marks").to_pylist(), strict=True):
                 text = text.as_py()

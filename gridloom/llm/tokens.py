@@ -43,6 +43,15 @@ def pieces(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, n
         lo = hi
 
 
+def portions(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Cuts rows into runs whose sizes sum up to the limit at most, one row at least: first row, row after the last."""
+    sums, lo = np.cumsum(sizes), 0
+    while lo < len(sums):
+        hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + limit, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each span, all spans a byte further at each step; long ones one by one."""
     sizes = ends - starts

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -527,3 +528,45 @@ def test_licence_scores_against_plain_cosines(spark):
                     best[k] = max(best[k], sum(x * b.get(t, 0) for t, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())))
     assert [round(r.score, 9) for r in sorted(got, key=lambda r: [x[:2] for x in rows].index((r.doc_id, r.path)))] == [round(best[k], 9) for k in range(5)]
     assert {(r.doc_id, r.path): (r.own, r.licence) for r in got} == {(1, "p/a.py"): ("Apache-2.0",) * 2, (2, "p/LICENSE"): ("MIT",) * 2, (None, "p/q/b.py"): (None, "MIT"), (4, "p/c.py"): (None, "MIT"), (None, "p/LICENSE"): (None, "MIT")}
+
+
+def test_substrings_of_one_anchor_are_compared_in_bands(monkeypatch):
+    monkeypatch.setattr(substrings, "GRAM", 3)
+    length, passage, r = 14, 9, random.Random(4)
+    blocks = ["".join(r.choices("abc", k=12)) + "xyz" + "".join(r.choices("abc", k=12)) for _ in range(9)]
+    texts = ["".join(r.choices(blocks + ["ba", "c"], k=4)) for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(60), pa.int64()), "x": pa.array([0] * 60, pa.int64()), "text": texts})
+    held = {}
+    for row in (x for b in substrings._runs(length, passage)(iter([batch])) for x in b.to_pylist()):
+        held.setdefault((row["anchor"], row["context"]), []).append(row)
+    rows = []
+    for (anchor, context), of in sorted(held.items(), key=lambda kv: (kv[0][0], min((x["id"], x["start"]) for x in kv[1]))):
+        first = min(of, key=lambda x: (x["id"], x["start"]))
+        rows.append({"anchor": anchor, "context": context, "bytes": texts[first["id"]].encode()[first["start"] : first["start"] + first["n"] - 1 + length], "lo": min(x["id"] for x in of), "hi": max(x["id"] for x in of), "n": first["n"]})
+    counts, factors = [], substrings.Factors
+
+    def seen(contexts, depth, windows):
+        counts.append(sum(windows))
+        return factors(contexts, depth, windows)
+
+    monkeypatch.setattr(substrings, "Factors", seen)
+    for keep in ("none", "first"):
+        got = {}
+        for most in (1 << 18, 20):
+            counts.clear()
+            monkeypatch.setattr(substrings, "SUFFIXES", most, raising=False)
+            out = substrings._compared(length, passage, keep)(iter([pa.RecordBatch.from_pylist(rows)]))
+            got[most] = [x for b in out for x in b.to_pylist()]
+        assert got[20] == got[1 << 18] and any(x["found"] for x in got[20])
+        # One place of an anchor at a time at least: one window of each of its contexts.
+        assert max(counts) <= max(20, max(sum(x["anchor"] == a["anchor"] for x in rows) for a in rows)) < sum(x["n"] for x in rows)
+
+
+def test_substrings_make_objects_of_few_rows_at_once(monkeypatch):
+    monkeypatch.setattr(substrings, "PORTION", 1 << 14, raising=False)
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("passage", pa.bool_())]))
+    marks = [None if i % 3 else [{"lo": 1 + i % 5, "hi": 3 + i % 5, "passage": False}] for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(["abcdefgh" * 20] * 300), pa.array(marks, kind)], names=["id", "text", "marks"])
+    out = list(substrings._result(4, 4, 9, False)(iter([batch, batch.slice(0, 0)])))
+    assert len(out) > 4 and [x for b in out for x in b.column("id").to_pylist()] == list(range(300))
+    assert [x for b in out for x in b.column("n_removed").to_pylist()] == [0 if m is None else 5 for m in marks]
