@@ -5,8 +5,8 @@ are no piece a byte each. A segmentation's chance is in proportion to the produc
 chances. Pieces of a BPE vocabulary have ranks and no chances; Zipf's law makes the one the other.
 
 A text falls apart wherever two bytes meet that no piece has side by side (before a space, mostly),
-and equal parts have equal lattices, so that lattices are solved once for the distinct units of a
-run of texts, all units of a length together. Sums over the prefixes of a unit give, at each place,
+and equal parts have equal lattices, so that lattices are solved once for the distinct units of many
+runs of texts, all new units of a length together. Sums over the prefixes of a unit give, at each place,
 the chance of each piece that ends there; walking back by these draws a segmentation exactly.
 
 Sampling without replacement (Gumbel top-k by perturbed A* search): the root of a text's search
@@ -21,8 +21,10 @@ Random numbers are hashes of a row's key, so they depend on neither batches nor
 
 from __future__ import annotations
 
+import copy
 import functools
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -43,6 +45,8 @@ ZIPF, TEMPER = 10.0, 1.0
 SPACE = 0x20
 MARK = "▁".encode()
 FILTER = 20
+#: Edges of lattices that a worker keeps, of 24 bytes each.
+KEEP = 1 << 21
 
 
 class Vocabulary:
@@ -82,14 +86,21 @@ class Vocabulary:
             raise ValueError("pieces share a hash")
         self.likely = np.zeros(1 << FILTER, bool)
         self.likely[hashes >> np.uint64(64 - FILTER)] = True
+        # Where the hashes of the same leading bits begin, and how many share theirs at most.
+        count = np.bincount((hashes >> np.uint64(64 - FILTER)).astype(np.int64), minlength=1 << FILTER)
+        self.begin, self.shared = (np.cumsum(count) - count).astype(np.int32), int(count.max(initial=0))
         self.sizes = np.array([len(r) for r in self.raw])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(self.raw), np.uint8)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece of each hash, or -1."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ids[at], -1)
+        at, out = self.begin[hashes >> np.uint64(64 - FILTER)], np.full(len(hashes), -1)
+        for k in range(self.shared):
+            near = np.minimum(at + k, len(self.hashes) - 1)
+            hit = self.hashes[near] == hashes
+            out[hit] = self.ids[near[hit]]
+        return out
 
 
 def _longer(hashes: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -115,7 +126,7 @@ class Lattices:
 
     def __init__(self, vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
         # Units of a size are numbered together: place p of the i-th of m has number base + p * m + i.
-        self.first, self.last = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+        self.sizes, self.first, self.last = sizes, np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
         ends, froms, ids, chances, base = [], [], [], [], 0
         for size in np.unique(sizes):
             units = np.flatnonzero(sizes == size)
@@ -132,6 +143,31 @@ class Lattices:
         self.chance = np.concatenate(chances or [np.zeros(0)])
         self.log = np.log(self.chance)
         self.edges = np.concatenate([[0], np.cumsum(np.bincount(end, minlength=base))])
+        self.start, self.id, self.edges = (x.astype(np.int32) for x in (self.start, self.id, self.edges))
+
+    def and_more(self, other: Lattices) -> Lattices:
+        """These and, behind them, another's."""
+        out, places = copy.copy(self), len(self.edges) - 1
+        out.first, out.last, out.start = (np.concatenate([a, b + places]) for a, b in ((self.first, other.first), (self.last, other.last), (self.start, other.start)))
+        out.start = out.start.astype(np.int32)
+        out.id, out.chance, out.log, out.sizes = (np.concatenate(x) for x in ((self.id, other.id), (self.chance, other.chance), (self.log, other.log), (self.sizes, other.sizes)))
+        out.edges = np.concatenate([self.edges, other.edges[1:] + self.edges[-1]]).astype(np.int32)
+        return out
+
+    def only(self, units: np.ndarray) -> Lattices:
+        """Those of some units, numbered as these are given."""
+        # A unit's places are as far apart as there were units of its size.
+        steps = self.sizes[units] + 1
+        apart = (self.last[units] - self.first[units]) // np.maximum(self.sizes[units], 1)
+        stay = np.zeros(len(self.edges) - 1, bool)
+        stay[np.repeat(self.first[units], steps) + np.repeat(apart, steps) * (np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps))] = True
+        new, count = np.cumsum(stay) - 1, np.diff(self.edges)
+        edge = np.repeat(stay, count)
+        out = copy.copy(self)
+        out.sizes, out.first, out.last, out.start = self.sizes[units], new[self.first[units]], new[self.last[units]], new[self.start[edge]]
+        out.id, out.chance, out.log, out.edges = self.id[edge], self.chance[edge], self.log[edge], np.concatenate([[0], np.cumsum(count[stay])]).astype(np.int32)
+        out.start = out.start.astype(np.int32)
+        return out
 
     @staticmethod
     def _solved(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
@@ -159,7 +195,7 @@ class Lattices:
         piece = np.concatenate([f[3] for f in found])
         end = start + np.concatenate([np.full(len(f[1]), f[0]) for f in found])
         end = end * n + unit
-        order = np.argsort(end)
+        order = np.argsort(end, kind="stable")  # by length, whatever else is solved with them
         unit, start, piece, end = unit[order], start[order] * n + unit[order], piece[order], end[order]
         score, sums = vocab.score[piece], np.full((size + 1) * n, -np.inf)
         sums[:n] = 0
@@ -183,6 +219,55 @@ class Lattices:
         return end[live], start[live], piece[live], chance[live]
 
 
+class Kept:
+    """Lattices of the units met so far, by the hash of their bytes, so that a unit is solved once for many runs of texts.
+
+    Beyond `most` edges only those of units met in several runs stay; if they alone have over half of that, all go.
+    """
+
+    def __init__(self, vocab: Vocabulary, most: int = KEEP):
+        self.vocab, self.most = vocab, most
+        self._drop()
+
+    def _drop(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.hashes, self.rank, self.often = np.zeros(0, np.uint64), none, np.zeros(0, bool)
+        self.lattices = Lattices(self.vocab, np.zeros(0, np.uint8), none, none)
+
+    def _trim(self) -> None:
+        stay = self.often[self.rank]
+        self.lattices = self.lattices.only(self.rank[stay])
+        self.hashes = self.hashes[stay]
+        self.rank, self.often = np.arange(len(self.hashes)), np.zeros(len(self.hashes), bool)
+        if 2 * len(self.lattices.start) > self.most:
+            self._drop()
+
+    def of(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[Lattices, np.ndarray]:
+        """Lattices, and which of theirs each unit has; the hashes are sorted and differ."""
+        if len(self.lattices.start) > self.most:
+            self._trim()
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = np.flatnonzero(at < len(self.hashes))
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        rank = np.empty(len(hashes), np.int64)
+        rank[known] = self.rank[at[known]]
+        self.often[rank[known]] = True
+        if len(new):
+            rank[new] = len(self.rank) + np.arange(len(new))
+            self.lattices = self.lattices.and_more(Lattices(self.vocab, data, starts[new], sizes[new]))
+            self.hashes, self.rank = np.insert(self.hashes, at[new], hashes[new]), np.insert(self.rank, at[new], rank[new])
+            self.often = np.append(self.often, np.zeros(len(new), bool))
+        return self.lattices, rank
+
+
+@functools.lru_cache(maxsize=2)
+def kept(path: str, temper: float) -> Kept:
+    """A worker's, for all batches that it gets."""
+    return Kept(vocabulary(path, temper))
+
+
 def _uniform(key: np.ndarray) -> np.ndarray:
     return ((mix(key) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
@@ -246,8 +331,8 @@ class Path:
 class Texts:
     """A run of texts, cut into tokens that are units of a lattice."""
 
-    def __init__(self, vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray):
-        self.vocab = vocab
+    def __init__(self, kept: Kept, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray):
+        self.vocab = vocab = kept.vocab
         sizes = np.diff(offsets)
         # One space goes before each text that isn't empty; the library's mark in a text is a space.
         lead = (sizes > 0).astype(np.int64)
@@ -262,8 +347,9 @@ class Texts:
         ends = np.append(starts[1:], len(flat)) if len(starts) else starts
         self.bounds = np.searchsorted(starts, new)
         hashes = span_hashes(flat, starts, ends)
-        _, index, self.unit = np.unique(hashes, return_index=True, return_inverse=True)
-        self.lattices = Lattices(vocab, flat, starts[index], (ends - starts)[index])
+        hashes, index, unit = np.unique(hashes, return_index=True, return_inverse=True)
+        self.lattices, rank = kept.of(hashes, flat, starts[index], (ends - starts)[index])
+        self.unit = rank[unit]
         self.places = self.lattices.last[self.unit]
         self.row = np.repeat(np.arange(len(sizes)), np.diff(self.bounds))
         self.keys = keys
@@ -297,19 +383,23 @@ class Texts:
             part = slice(cut[r], cut[r + 1])
             paths.append([Path(walked.token[part], walked.edge[part], before[part], open_[part], float(roots[r]), float(log[r]), {})])
         for round_ in range(2, k + 1):
-            todo, tokens, places = [], [], []
+            todo, tokens, places, locations = [], [], [], []
+            choice, narrow = (_uniform(mix(self.keys + np.uint64(x * round_))) for x in (104729, 1299709))
             for r in range(rows):
                 if len(paths[r]) == round_ - 1 and (best := self._best(paths[r])):
                     path, s, g = best
-                    edge = self._other(r, path, s, round_)
+                    edge, location = self._other(path, s, choice[r])
                     t = int(path.token[s])
                     rest = np.arange(t + 1, self.bounds[r + 1])
                     todo.append((r, path, s, g, edge, 1 + len(rest)))
                     tokens += [np.array([t]), rest]
                     places += [self.lattices.start[[edge]], self.places[rest]]
-                    self._narrow(r, path, s, g, edge, round_)
+                    locations.append(location)
             if not todo:
                 break
+            opened = _cut_off(np.array(locations), np.array([x[3] for x in todo]), narrow[[x[0] for x in todo]])
+            for (_, path, s, *_), g in zip(todo, opened, strict=True):
+                path.open[s] = g
             token = np.concatenate(tokens)
             walked = walk(self.lattices, self.unit[token], np.concatenate(places), self._key(token, round_))
             cut = np.searchsorted(walked.token, np.cumsum([0, *(x[5] for x in todo)]))
@@ -327,44 +417,44 @@ class Texts:
     def _best(paths: list[Path]) -> tuple[Path, int, float] | None:
         tops = [(float(p.open[s]), i, s) for i, p in enumerate(paths) if len(p.open) for s in (int(p.open.argmax()),)]
         g, i, s = max(tops, default=(-np.inf, 0, 0))
-        return None if np.isneginf(g) else (paths[i], s, g)
-
-    def _options(self, path: Path, s: int) -> tuple[np.ndarray, np.ndarray]:
-        """Edges at a step that no sample has taken from there, and their chances."""
-        edges = self.lattices.edges
-        place = int(np.searchsorted(edges, path.edge[s], "right") - 1)
-        taken = {int(path.edge[s]), *path.used.get(s, ())}
-        out = np.array([e for e in range(edges[place], edges[place + 1]) if e not in taken], np.int64)
-        return out, self.lattices.chance[out]
-
-    def _other(self, row: int, path: Path, s: int, round_: int) -> int:
-        options, chance = self._options(path, s)
-        u = _uniform(mix(self.keys[row : row + 1] + np.uint64(104729 * round_)))[0] * chance.sum()
-        return int(options[min(int(chance.cumsum().searchsorted(u)), len(options) - 1)])
-
-    def _narrow(self, row: int, path: Path, s: int, g: float, edge: int, round_: int) -> None:
-        path.used.setdefault(s, set()).add(edge)
-        _, chance = self._options(path, s)
-        location = path.before[s] + (np.log(chance.sum()) if len(chance) else -np.inf)
-        u = _uniform(mix(self.keys[row : row + 1] + np.uint64(1299709 * round_)))
-        path.open[s] = _cut_off(np.array([location]), g, u)[0]
-
-    def ids(self, path: Path) -> np.ndarray:
-        """Piece ids from the text's first to its last: each token's steps turned around."""
-        count = np.bincount(path.token - path.token[0]) if len(path.token) else np.zeros(0, np.int64)
-        end = np.cumsum(count)
-        rank = np.arange(len(path.token)) - np.repeat(end - count, count)
-        out = np.empty(len(path.token), np.int64)
-        out[np.repeat(end, count) - 1 - rank] = self.lattices.id[path.edge]
-        return out
+        return None if g == -np.inf else (paths[i], s, g)
+
+    def _other(self, path: Path, s: int, u: float) -> tuple[int, float]:
+        """Another edge at a step, which no sample has taken from there, and the log chance of what is left beside it."""
+        edges, used = self.lattices.edges, path.used.setdefault(s, {int(path.edge[s])})
+        place = int(np.searchsorted(edges, edges.dtype.type(path.edge[s]), "right") - 1)  # of the same type, or all edges would be copied
+        lo, hi = int(edges[place]), int(edges[place + 1])
+        options = np.array([e for e in range(lo, hi) if e not in used], np.int64)
+        chance = self.lattices.chance[options]
+        at = min(int(chance.cumsum().searchsorted(u * chance.sum())), len(options) - 1)
+        used.add(int(options[at]))
+        rest = np.delete(chance, at)
+        return int(options[at]), path.before[s] + (np.log(rest.sum()) if len(rest) else -np.inf)
+
+    def ids(self, paths: list[Path]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of some paths from the text's first to its last, each token's steps turned around, and where each path's begin."""
+        if not paths:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        token, edge, bounds = np.concatenate([p.token for p in paths]), np.concatenate([p.edge for p in paths]), np.cumsum([0, *(len(p.edge) for p in paths)])
+        new = np.ones(len(token), bool)
+        new[1:] = token[1:] != token[:-1]
+        new[bounds[:-1][bounds[:-1] < len(token)]] = True
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(token)) - 1
+        return self.lattices.id[edge[np.repeat(first + last, last + 1 - first) - np.arange(len(token))]], bounds
 
 
 def _joined(vocab: Vocabulary, ids: np.ndarray) -> bytes:
+    return _all_joined(vocab, ids, np.array([0, len(ids)]))[0]
+
+
+def _all_joined(vocab: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """What the pieces between the bounds decode to, without the space before it."""
     sizes = vocab.sizes[ids]
-    if not len(ids):
-        return b""
-    at = np.repeat(vocab.starts[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    return vocab.data[at].tobytes()[1:]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(vocab.starts[ids] - ends[:-1], sizes) + np.arange(int(ends[-1]))
+    data, cuts = vocab.data[at].tobytes(), ends[bounds].tolist()
+    return [data[a + 1 : b] for a, b in itertools.pairwise(cuts)]
 
 
 SAMPLE = pa.struct([("ids", pa.list_(pa.int32())), ("log_chance", pa.float64()), ("g", pa.float64()), ("inclusion", pa.float64()), ("decoded_sha256", pa.string())])
@@ -372,26 +462,25 @@ SAMPLE = pa.struct([("ids", pa.list_(pa.int32())), ("log_chance", pa.float64()),
 
 def _encode(k: int, seed: int, path: str, temper: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path, temper)
+        vocab, solved = vocabulary(path, temper), kept(path, temper)
         for batch in batches:
             keys = mix(batch.column("key").to_numpy().view(np.uint64) + np.uint64(seed))
             for lo, hi, data, offsets in pieces(batch.column("text"), 3 << 19):
-                texts = Texts(vocab, data, offsets, keys[lo:hi])
-                flat, bounds, logs, gs, inclusions, counts, digests, last = [], [0], [], [], [], [0], [], []
-                for found, threshold in texts.sampled(k):
-                    for p in found:
-                        flat.append(texts.ids(p))
-                        bounds.append(bounds[-1] + len(flat[-1]))
-                        logs.append(p.log)
-                        gs.append(p.g)
-                        inclusions.append(1.0 if np.isneginf(threshold) else float(-np.expm1(-np.exp(min(p.log - threshold, 700)))))
-                        digests.append(hashlib.sha256(_joined(vocab, flat[-1])).hexdigest())
-                    counts.append(counts[-1] + len(found))
-                    last.append(digests[-1])
-                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32()))
+                texts = Texts(solved, data, offsets, keys[lo:hi])
+                found = texts.sampled(k)
+                paths = [p for of, _ in found for p in of]
+                counts = np.cumsum([0, *(len(of) for of, _ in found)])
+                thresholds = np.repeat(np.array([x for _, x in found], float), np.diff(counts))
+                logs, gs = np.array([p.log for p in paths], float), np.array([p.g for p in paths], float)
+                with np.errstate(invalid="ignore"):
+                    inclusions = np.where(np.isneginf(thresholds), 1.0, -np.expm1(-np.exp(np.minimum(logs - thresholds, 700))))
+                flat, bounds = texts.ids(paths)
+                digests = [hashlib.sha256(x).hexdigest() for x in _all_joined(vocab, flat, bounds)]
+                last = [digests[i - 1] for i in counts[1:]]
+                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
                 samples = pa.StructArray.from_arrays([ids, pa.array(logs, pa.float64()), pa.array(gs, pa.float64()), pa.array(inclusions, pa.float64()), pa.array(digests, pa.string())], fields=list(SAMPLE))
                 yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.ListArray.from_arrays(pa.array(counts, pa.int32()), samples), pa.array(last, pa.string())], names=["id", "samples", "decoded_sha256"])
-                del texts, flat, ids, samples
+                del texts, found, paths, flat, ids, samples
 
     return run
 

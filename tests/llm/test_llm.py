@@ -570,3 +570,30 @@ def test_substrings_make_objects_of_few_rows_at_once(monkeypatch):
     out = list(substrings._result(4, 4, 9, False)(iter([batch, batch.slice(0, 0)])))
     assert len(out) > 4 and [x for b in out for x in b.column("id").to_pylist()] == list(range(300))
     assert [x for b in out for x in b.column("n_removed").to_pylist()] == [0 if m is None else 5 for m in marks]
+
+
+def test_units_are_solved_once_for_many_batches(monkeypatch):
+    solved, lattices = [], segment.Lattices
+
+    class Seen(lattices):
+        def __init__(self, vocab, data, starts, sizes):
+            solved.append(len(sizes))
+            super().__init__(vocab, data, starts, sizes)
+
+    monkeypatch.setattr(segment, "Lattices", Seen)
+    texts = [t or "" for t in TEXTS]
+
+    def sampled(step, most):
+        if hasattr(segment, "Kept"):
+            segment.kept.cache_clear()
+            monkeypatch.setattr(segment.Kept.__init__, "__defaults__", (most,))
+        solved.clear()
+        batches = [pa.RecordBatch.from_pydict({"id": list(range(k, k + len(part))), "text": part, "key": pa.array(range(k, k + len(part)), pa.int64())}) for k in range(0, len(texts), step) for part in (texts[k : k + step],)]
+        return [(x["id"], [(s["ids"], s["decoded_sha256"]) for s in x["samples"]], x["decoded_sha256"]) for b in segment._encode(3, 1, segment.MODEL, segment.TEMPER)(iter(batches)) for x in b.to_pylist()]
+
+    want = sampled(len(texts), 1 << 20)
+    once = sum(solved)
+    assert sampled(2, 1 << 20) == want and sum(solved) == once
+    assert sampled(2, 3000) == want and sum(solved) > once
+    assert sampled(2, 10) == want
+    segment.kept.cache_clear()
