@@ -13,6 +13,23 @@ import tempfile
 import numpy as np
 
 ONE = np.uint64(1)
+#: Numbers of 64 bits whose bytes are all the same.
+EACH = {x: np.uint64(x * 0x0101010101010101) for x in (0x01, 0x0F, 0x33, 0x55, 0x80)}
+#: Of each byte, at 8 * byte + k, the place of its k-th one.
+ONES = np.array([p[k] if k < len(p) else 0 for b in range(256) for p in ([i for i in range(8) if b >> i & 1],) for k in range(8)], np.uint8)
+
+
+def select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one of each word, which has more than k: by counts of its bytes' ones, summed up within the word."""
+    count = words - ((words >> ONE) & EACH[0x55])
+    count = (count & EACH[0x33]) + ((count >> np.uint64(2)) & EACH[0x33])
+    count = ((count + (count >> np.uint64(4))) & EACH[0x0F]) * EACH[0x01]
+    # A byte's leading bit stays where the ones up to it are k at most; those bytes lie before the one asked for.
+    k = k.astype(np.uint64)
+    passed = ((((k * EACH[0x01]) | EACH[0x80]) - count) & EACH[0x80]) >> np.uint64(7)
+    at = ((passed * EACH[0x01]) >> np.uint64(56)) << np.uint64(3)
+    before = ((count << np.uint64(8)) >> at) & np.uint64(0xFF)
+    return at.astype(np.int64) + ONES[(((words >> at) & np.uint64(0xFF)) << np.uint64(3)) + k - before]
 
 
 def encode(values: np.ndarray, universe: int) -> list[np.ndarray]:
@@ -31,7 +48,7 @@ def encode(values: np.ndarray, universe: int) -> list[np.ndarray]:
 
 class EliasFano:
     def __init__(self, parts: list[np.ndarray]):
-        (self.n, self.low), packed, self.high, self.ones = (int(parts[0][0]), int(parts[0][1])), parts[1], parts[2].reshape(-1, 8), parts[3]
+        (self.n, self.low), packed, self.high, self.ones = (int(parts[0][0]), int(parts[0][1])), parts[1], parts[2].view("<u8"), parts[3]
         self.windows = np.ndarray((len(packed) - 7,), "<u8", packed, strides=(1,))
         self.mask = np.uint64((1 << self.low) - 1)
         self.zeros = np.arange(len(self.ones)) * 64 - self.ones
@@ -43,9 +60,8 @@ class EliasFano:
     def _select(self, k: np.ndarray, before: np.ndarray, one: bool) -> np.ndarray:
         """Place of the k-th one, or zero, of the high bits."""
         word = np.searchsorted(before, k, "right") - 1
-        bits = np.unpackbits(self.high[word], axis=1, bitorder="little")
-        rank = np.cumsum(bits if one else 1 - bits, axis=1, dtype=np.uint8)
-        return word * 64 + (rank > (k - before[word])[:, None]).argmax(axis=1)
+        high = self.high[word]
+        return word * 64 + select(high if one else ~high, k - before[word])
 
     def get(self, i: np.ndarray) -> np.ndarray:
         high = (self._select(i, self.ones, True) - i).astype(np.uint64)

@@ -597,3 +597,11 @@ def test_units_are_solved_once_for_many_batches(monkeypatch):
     assert sampled(2, 3000) == want and sum(solved) > once
     assert sampled(2, 10) == want
     segment.kept.cache_clear()
+
+
+def test_select_reads_words_not_bits():
+    rng = np.random.default_rng(11)
+    words = np.concatenate([rng.integers(0, 2**64, 300, np.uint64, endpoint=False), rng.integers(0, 2**64, 100, np.uint64, endpoint=False) & rng.integers(0, 2**64, 100, np.uint64, endpoint=False) & np.uint64(0xFF00000000000081), np.array([1, 1 << 63, 2**64 - 1, 0x8000000000000001], np.uint64)])
+    ones = [(w, k, p) for w in words.tolist() for k, p in enumerate(i for i in range(64) if w >> i & 1)]
+    w, k, p = (np.array(x, t) for x, t in zip(zip(*ones, strict=True), (np.uint64, np.int64, np.int64), strict=True))
+    assert elias_fano.select(w, k).tolist() == p.tolist()
