@@ -13,6 +13,8 @@ import tempfile
 import numpy as np
 
 ONE = np.uint64(1)
+#: Numbers that are encoded at once, a multiple of 8: each has a byte for every low bit meanwhile.
+PORTION = 1 << 16
 #: Numbers of 64 bits whose bytes are all the same.
 EACH = {x: np.uint64(x * 0x0101010101010101) for x in (0x01, 0x0F, 0x33, 0x55, 0x80)}
 #: Of each byte, at 8 * byte + k, the place of its k-th one.
@@ -35,13 +37,15 @@ def select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
 def encode(values: np.ndarray, universe: int) -> list[np.ndarray]:
     """values: sorted, below universe. Head, packed low bits, high bits, ones before each word of high bits."""
     n = len(values)
-    values = values.astype(np.uint64)
     low = min(56, max(0, (universe // max(n, 1)).bit_length() - 1))
-    bits = ((values[:, None] >> np.arange(low, dtype=np.uint64)) & ONE).astype(np.uint8) if low else np.zeros((n, 0), np.uint8)
-    packed = np.append(np.packbits(bits.ravel(), bitorder="little"), np.zeros(8, np.uint8))
-    high = (values >> np.uint64(low)).astype(np.int64)
     marks = np.zeros(-(-(n + (universe >> low) + 2) // 64) * 64, np.uint8)
-    marks[high + np.arange(n)] = 1
+    packed = []
+    for i in range(0, n, PORTION):
+        part = values[i : i + PORTION].astype("<u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, count=low, bitorder="little")
+        packed.append(np.packbits(bits.ravel(), bitorder="little"))
+        marks[(part >> np.uint64(low)).astype(np.int64) + np.arange(i, i + len(part))] = 1
+    packed = np.concatenate([*packed, np.zeros(8, np.uint8)])
     counts = marks.reshape(-1, 64).sum(axis=1, dtype=np.int64)
     return [np.array([n, low], np.int64), packed, np.packbits(marks, bitorder="little"), np.concatenate([[0], np.cumsum(counts)])]
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -272,6 +273,77 @@ def test_lm(docs, plain, order):
     assert lm.lm_scores(docs.filter("false")).count() == 0
 
 
+def _sent(texts, order, shards=1):
+    """By shard, what each chunk of some texts sends it."""
+    blobs = [lm._Chunk(ids, pa.chunked_array([x]), order).shards(shards) for ids, x in texts]
+    return [[lm._unpacked(b[s]) for b in blobs if s in b] for s in range(shards)]
+
+
+def _peak(f):
+    tracemalloc.start()
+    try:
+        out = f()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_lm_shard_holds_what_is_distinct():
+    """A shard's memory doesn't grow with the chunks that send it the same n-grams, and a number that is encoded takes some bytes."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 20_000, 60)) for _ in range(1000)]
+    few = _sent([([1] * len(texts), pa.array(texts))] * 4, 2)[0]
+    grams = len(few[0][4])
+    trie, little = _peak(lambda: lm.Trie(few))
+    many, much = _peak(lambda: lm.Trie(few * 16))
+    assert grams > 50_000 and much < 2 * little and much < 100 * (1 << 18)
+    assert (many.counts == 16 * trie.counts).all()
+    values = np.sort(rng.integers(0, 1 << 60, 200_000, dtype=np.uint64))
+    assert _peak(lambda: elias_fano.encode(values, 1 << 60))[1] < 100 * len(values)
+
+
+@pytest.mark.parametrize("gathered", [1, 50, 1 << 18])
+def test_lm_shard_sums_chunks_in_runs(monkeypatch, gathered):
+    monkeypatch.setattr(lm, "GATHERED", gathered)
+    rng = np.random.default_rng(9)
+    chunks = [([*range(k, k + 4)], pa.array([" ".join(rng.choice(list("abcdefgh"), 30)) for _ in range(3)] + [None])) for k in range(0, 40, 4)]
+    c, grams = Counter(), Counter()
+    for ids, texts in chunks:
+        for i, t in zip(ids, texts.to_pylist(), strict=True):
+            if zlib.crc32(str(i).encode()) % 10:
+                x = [None, *(t or "").split(), None]
+                c.update(x[1:])
+                grams.update(zip(x, x[1:], strict=False))
+    plain = _sent(chunks, 3)[0]
+    trie = lm.Trie(plain)
+    assert sorted(trie.counts) == sorted([*c.values(), 0])  # BEGIN is never counted
+    (contexts, pointers, successors), left, found = trie.levels[0]
+    total = Counter()
+    for (a, _), n in grams.items():
+        total[a] += n
+    assert (contexts.n, successors.n) == (len(total), len(grams)) and pointers.get(np.array([pointers.n - 1]))[0] == len(grams)
+    want = [lm.coded(np.array([(n - 0.75) / total[a]]))[0] for (a, _), n in grams.items()]
+    assert sorted(found) == sorted(want)
+    kinds = Counter(a for a, _ in grams)
+    assert sorted(left) == sorted(lm.coded(np.array([0.75 * kinds[a] / total[a]]))[0] for a in total)
+    # Many shards say together what one says.
+    parts = _sent(chunks, 3, 5)
+    assert sum(lm.Trie(x).levels[1][0][2].n for x in parts if x) == trie.levels[1][0][2].n
+
+
+def test_lm_shard_takes_batches():
+    """Blobs come in batches of any size, and are answered in their order."""
+    texts = [([k], pa.array([f"a b{k} a c"])) for k in range(9)]
+    blobs = [lm._Chunk(ids, pa.chunked_array([x]), 2).shards(1)[0] for ids, x in texts]
+    table = pa.table({"chunk": pa.array(range(9), pa.int64()), "shard": pa.array([0] * 9, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    key = (pa.scalar(0, pa.int32()),)
+    out = [pa.Table.from_batches(list(lm._answer(key, iter(table.to_batches(max_chunksize=n))))) for n in (1, 4, 9)]
+    assert out[0] == out[1] == out[2] and out[0].column("chunk").to_pylist() == list(range(9))
+    n, v = (pa.Table.from_batches(list(lm._totals(key, iter(table.to_batches(max_chunksize=4))))).column(x)[0].as_py() for x in "nv")
+    trained = [k for k in range(9) if zlib.crc32(str(k).encode()) % 10]
+    assert (n, v) == (5 * len(trained), 3 + len(trained))
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(6)
     word = {"clean": "sun sea hill".split(), "toxic": "scum moron trash".split()}
